@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.common import cut
+from barloom.common import cut, settled
 from barloom.pipeline.timestamps import parse_times
 
 # The declared schemas and their field names, in lower case; delimiters; raw types of values.
@@ -39,7 +39,8 @@ def raw_type(v: Column) -> Column:
 
 
 def _clean(c: str) -> Column:
-    return F.regexp_replace(F.col(c), "^[\\s﻿]+|[\\r\\n]+$", "")
+    """A line without byte order mark, blanks before it and line end. A leading tab is a delimiter and stays."""
+    return F.regexp_replace(F.col(c), "^[ \ufeff]+|[\\r\\n]+$", "")
 
 
 def _pieces(line: Column, delimiter: Column) -> Column:
@@ -162,3 +163,58 @@ def drift(lines: DataFrame, registry: DataFrame) -> DataFrame:
     expected = F.element_at(F.create_map(*[x for k, names in SCHEMAS.items() for x in (F.lit(k), F.array_sort(F.array(*map(F.lit, names))))]), F.col("old_name"))
     wrong = declared.join(heads, "filename").filter(expected != F.array_sort("fields")).select("dataset_id", "filename", F.lit("mislabelled").alias("change"), "old_name", F.lit("").alias("new_name"))
     return added.unionByName(removed).unionByName(moved).unionByName(retyped).unionByName(wrong)
+
+
+# The columns of the bar table, and the names under which captures first hold them.
+COLUMNS = {"open": ["open"], "high": ["high"], "low": ["low"], "close": ["close"], "volume": ["tickvolume", "volume"], "spread": ["spread"]}
+TIMES = ["opentimeutc", "datetime"]
+
+
+def lineage(lines: DataFrame, registry: DataFrame, changes: DataFrame) -> DataFrame:
+    """The first name of each path of each file, its renamings followed back through the versions of its dataset: filename, path, name.
+
+    One dataset's headers and renamings, a line or two a version, are walked in one task; no values are.
+    """
+    heads = headers(lines).select("filename", "fields")
+    versions = _versions(registry)
+    moves = changes.filter("change = 'renamed'").groupBy("filename").agg(F.map_from_entries(F.collect_list(F.struct("new_name", "old_name"))).alias("moves"))
+    files = heads.join(versions, "filename").join(moves, "filename", "left")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(order=[tuple(x for x in v if x is not None) for v in pdf["version"]]).sort_values(["order", "filename"])
+        known: dict[str, str] = {}
+        out = []
+        for filename, fields, moves in zip(pdf["filename"], pdf["fields"], pdf["moves"]):
+            back = dict(moves) if moves is not None else {}
+            known = {p: known.get(back.get(p, p), p) for p in fields}
+            out += [(filename, p, n) for p, n in known.items()]
+        return pd.DataFrame(out, columns=["filename", "path", "name"])
+
+    return files.groupBy("dataset_id").applyInPandas(walk, "filename string, path string, name string")
+
+
+def bar_table(lines: DataFrame, registry: DataFrame) -> DataFrame:
+    """All captures as one table: dataset_id, filename, line_no, time_us, open, high, low, close, volume, spread, others, failed.
+
+    Columns follow their fields through renamings; numbers lose notation and unit. `others` maps the remaining fields to their texts; `failed` names the
+    columns whose value is there but could not be cast (null in their column). A line comes once, however often it is repeated. Files without
+    registration have a null dataset_id and keep their own field names.
+    """
+    changes = drift(lines, registry)
+    names = cut(lineage(lines, registry, changes), "lineage").groupBy("filename").agg(F.map_from_entries(F.collect_list(F.struct("path", "name"))).alias("names"))
+    rows = cells(lines, headers(lines)).groupBy("filename", "line_no").agg(F.any_value("m").alias("m"))
+    rows = rows.join(names, "filename", "left").join(_versions(registry).select("filename", "dataset_id"), "filename", "left")
+    first = F.transform(F.map_entries("m"), lambda e: F.struct(F.coalesce(F.element_at("names", e.key), e.key).alias("key"), e.value.value.alias("value")))
+    # A name of an older field that came back beside its renamed one would clash: the path's own name then counts.
+    keys = F.transform(first, lambda e: e.key)
+    unique = F.transform(first, lambda e, i: F.struct(F.when(F.array_position(keys, e.key) == i + 1, e.key).otherwise(F.concat(e.key, F.lit("#"), i + 1)).alias("key"), e.value.alias("value")))
+    rows = settled(rows.select("dataset_id", "filename", "line_no", "m", "names"), v=F.map_from_entries(unique)).drop("m", "names")
+    text = {c: F.nullif(F.coalesce(*[F.element_at("v", n) for n in ns]), F.lit("")) for c, ns in (COLUMNS | {"clock": TIMES}).items()}
+    rows = settled(rows, **{f"t_{c}": x for c, x in text.items()})
+    number = lambda c: F.regexp_extract(c, rf"^[^\d.+-]{{0,3}}\s*({_NUMBER})\s*[A-Za-z%]{{0,4}}$", 1).try_cast("double")
+    rows = settled(_instants(rows, "t_clock"), **{c: number(F.col(f"t_{c}")) for c in COLUMNS})
+    known = F.array(*[F.lit(n) for ns in (*COLUMNS.values(), TIMES) for n in ns])
+    failed = F.array_compact(F.array(F.when(F.col("t_clock").isNotNull() & F.col("us").isNull(), F.lit("time")), *[F.when(F.col(f"t_{c}").isNotNull() & F.col(c).isNull(), F.lit(c)) for c in COLUMNS]))
+    return rows.select(
+        "dataset_id", "filename", "line_no", F.col("us").alias("time_us"), *COLUMNS, F.map_filter("v", lambda k, x: ~F.array_contains(known, k)).alias("others"), failed.alias("failed")
+    )

@@ -164,9 +164,30 @@ def settle_twice(df: DataFrame, keys: Sequence[str], order: str, early: str = "e
     first = F.col("before_us") >= F.col(flag)
     at = at.withColumn("sure_us", F.when(first, F.col(lo2)).otherwise(F.col(lo)))
     at = chunk_prefix(at, keys, c, [order], F.col("sure_us"), "before2_us")
-    at = at.filter(F.col(flag).isNotNull() & (F.col("before2_us") >= F.col(flag))).select(*keys, order, F.lit(True).alias(flag))
-    same = [df[k] == at[k] for k in (*keys, order)]
-    return (
-        df.join(at, same, "left")
-        .select(*[df[x] for x in df.columns if x != c], F.when(at[flag].isNotNull(), df[late]).otherwise(df[early]).alias(out))
-    )
+    own = free_names(df, [f"{x}_at" for x in (*keys, order)])
+    at = at.filter(F.col(flag).isNotNull() & (F.col("before2_us") >= F.col(flag))).select(*[F.col(x).alias(y) for x, y in zip((*keys, order), own)], F.lit(True).alias(flag))
+    same = [F.col(x) == F.col(y) for x, y in zip((*keys, order), own)]
+    joined = df.join(at, same, "left").withColumn(out, F.when(F.col(flag), F.col(late)).otherwise(F.col(early)))
+    return joined.drop(c, flag, *own)
+
+
+def table_times(registry: DataFrame, bars: DataFrame, quotes: DataFrame, recorders: DataFrame) -> DataFrame:
+    """source_table, row_id, utc_us and `plain` (the text has its table's own form) of every row of the three tables.
+
+    A recorder listed twice counts once, the least zone and order standing. Wall times of bars that occur twice are settled by the dataset's
+    earlier bars; those of the other tables, which have no such order, take the earlier instant. `utc_us` is null where no instant is named.
+    """
+    rec = recorders.groupBy("recorder_id").agg(F.min("zone").alias("zone"), F.min("date_order").alias("date_order"))
+    # Zones are names of the IANA list, some hundreds at most: the one thing that the driver reads.
+    offsets = abbreviations(sorted(r[0] for r in rec.select("zone").distinct().dropna().collect()))
+
+    def parsed(df: DataFrame, text: str, plain: str, *more: str) -> DataFrame:
+        df = df.select("row_id", *more, F.col(text).alias("text"), "recorder_id").join(rec, "recorder_id", "left")
+        return parse_times(df, "text", "zone", "date_order", offsets).withColumn("plain", F.coalesce(F.col("text").rlike(plain), F.lit(False)))
+
+    b = settle_twice(parsed(bars, "OpenTimeUtc", PLAIN_Z7, "dataset_id", "bar_index"), ["dataset_id"], "bar_index")
+    parts = [("bars", b.select("row_id", "utc_us", "plain"))]
+    for name, df, text, plain in (("registry", registry, "first_timestamp", PLAIN_Z7), ("eurusd_quotes", quotes, "ts_utc", PLAIN_MS)):
+        parts.append((name, parsed(df, text, plain).select("row_id", F.col("early_us").alias("utc_us"), "plain")))
+    out = [df.select(F.lit(n).alias("source_table"), "*") for n, df in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
