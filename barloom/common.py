@@ -104,45 +104,45 @@ def publish(df: DataFrame, target: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{target}/{version}")
 
 
-def chunk_neighbours(df: DataFrame, keys: Sequence[str], chunk: str, order: str, value: Column, after: int = 1, prefix: str = "nb") -> DataFrame:
+def chunk_neighbours(df: DataFrame, keys: Sequence[str], chunk: str, order: str, value: Column, after: int = 1, prefix: str = "nb", run_of: Column | None = None, run: str = "run_start") -> DataFrame:
     """`df` with the value of the row before (`<prefix>_prev`) and of the `after` rows after it (`<prefix>_next1`, ...).
 
     As lag and lead over `keys` by `order`, but sorted in one task per chunk only (see chunk_prefix): what lies beyond a
-    chunk's edge comes from a table with one row per chunk. `value` must not be null; `order` must be unique within `keys`.
+    chunk's edge comes from a table with one row per chunk. `value` must not be null; `order` must be unique within `keys`. With `run_of`, which must not be null either,
+    `run` is the `order` of the first row of the run of equal `run_of` that a row is in.
     """
-    v, rn, last, first, n, before, beyond = free_names(df, ["v_nb", "rn_nb", "last_nb", "first_nb", "n_nb", "before_nb", "beyond_nb"])
+    v, rn, last, first, n, before, beyond, same, begun, mark = free_names(df, [f"{x}_nb" for x in ("v", "rn", "last", "first", "n", "before", "beyond", "same", "begun", "mark")])
     w = Window.partitionBy(*keys, chunk).orderBy(order)
-    df = df.withColumn(v, value)
-    df = df.select("*", F.row_number().over(w).alias(rn), F.lag(v).over(w).alias(f"{prefix}_prev"), *[F.lead(v, k).over(w).alias(f"{prefix}_next{k}") for k in range(1, after + 1)])
+    df = df.withColumn(v, value).withColumn(same, run_of if run_of is not None else F.lit(0))
+    df = df.select("*", F.row_number().over(w).alias(rn), F.lag(v).over(w).alias(f"{prefix}_prev"), F.lag(same).over(w).alias(begun), *[F.lead(v, k).over(w).alias(f"{prefix}_next{k}") for k in range(1, after + 1)])
+    # Within a chunk a run begins where the value changes; that of the first row may have begun before.
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn(mark, F.max(F.when(F.col(begun) != F.col(same), F.col(order))).over(upto))
     edges = df.groupBy(*keys, chunk).agg(
-        F.max_by(v, order).alias(last),
-        F.array_sort(F.collect_list(F.when(F.col(rn) <= after, F.struct(order, v)))).alias(first),
+        F.max_by(F.struct(v, same), order).alias(last),
+        F.array_sort(F.collect_list(F.when(F.col(rn) <= max(after, 1), F.struct(order, v, same)))).alias(first),
+        F.max(mark).alias(mark),
         F.count(F.lit(1)).alias(n),
     )
     wk = Window.partitionBy(*keys).orderBy(chunk)
     none = F.slice(F.col(first), 1, 0)
     following = [F.coalesce(F.lead(first, k).over(wk), none) for k in range(1, after + 1)]
-    edges = edges.select(*keys, chunk, n, F.lag(last).over(wk).alias(before), F.flatten(F.array(*following)).alias(beyond))
-    df = df.join(edges, [*keys, chunk])
+    edges = edges.select(*keys, chunk, n, first, mark, F.lag(last).over(wk).alias(before), F.flatten(F.array(*following)).alias(beyond))
+    own = F.when(F.col(before).isNull() | (F.col(before)[same] != F.col(first)[0][same]), F.col(first)[0][order])
+    edges = edges.withColumn(begun, own).withColumn(last, F.coalesce(mark, begun))
+    carried = F.last(last, ignorenulls=True).over(wk.rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select(*keys, chunk, n, F.col(before)[v].alias(before), beyond, F.coalesce(F.col(begun), carried).alias(begun))
+    df = df.drop(begun).join(edges, [*keys, chunk])
     out = [F.coalesce(f"{prefix}_prev", F.when(F.col(rn) == 1, F.col(before))).alias(f"{prefix}_prev")]
     for k in range(1, after + 1):
         at = (F.lit(k - 1) - (F.col(n) - F.col(rn))).cast("int")
         out.append(F.coalesce(F.col(f"{prefix}_next{k}"), F.when(at >= 0, F.get(F.col(beyond), at)[v])).alias(f"{prefix}_next{k}"))
-    keep = [c for c in df.columns if c not in {v, rn, last, first, n, before, beyond} and not c.startswith(f"{prefix}_")]
+    if run_of is not None:
+        out.append(F.coalesce(mark, begun).alias(run))
+    keep = [c for c in df.columns if c not in {v, rn, last, first, n, before, beyond, same, begun, mark} and not c.startswith(f"{prefix}_")]
     return df.select(*keep, *out)
 
 
-def chunk_runs(df: DataFrame, keys: Sequence[str], chunk: str, order: str, starts: Column, out: str = "run_start") -> DataFrame:
-    """`df` with the `order` of the row that starts its run: the last row up to it where `starts` holds."""
-    head, mark = free_names(df, ["head_run", "mark_run"])
-    df = df.withColumn(mark, F.when(starts, F.col(order)))
-    heads = df.groupBy(*keys, chunk).agg(F.max(mark).alias(mark))
-    wk = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(*keys, chunk, F.max(mark).over(wk).alias(head))
-    w = Window.partitionBy(*keys, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.max(mark).over(w)).join(heads, [*keys, chunk]).withColumn(out, F.coalesce(out, head)).drop(head, mark)
-
-
 def settled(df: DataFrame, **columns: Column) -> DataFrame:
     """`df` with columns computed once, here: the optimizer neither repeats their expressions where they are used nor moves filters on them below.
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.common import chunk_neighbours, chunk_runs, cut
+from barloom.common import chunk_neighbours, cut
 
 ROWS = 64  # rows of one profile matrix: longer histories are split, so that no task holds a whole source
 
@@ -93,9 +93,8 @@ def flag_ticks(ticks: DataFrame, moves: float = 25, longest: int = 3, stuck: int
         .groupBy("symbol", "day", "ts")
         .agg(F.min("bid").alias("bid"), F.min("spread").alias("spread"))
     )
-    r = chunk_neighbours(r, ["symbol"], "day", "ts", F.struct("bid", "ts"), after=longest)
-    r = r.withColumn("slot", F.floor(F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(86_400_000_000)) / (86_400_000_000 // slots)).cast("int"))
-    r = cut(r, "readings")
+    r = chunk_neighbours(r, ["symbol"], "day", "ts", F.struct("bid", "ts"), after=longest, run_of=F.col("bid"))
+    r = cut(r.drop("day"), "readings").withColumn("day", day).withColumn("slot", F.floor(F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(86_400_000_000)) / (86_400_000_000 // slots)).cast("int"))
     before = F.col("nb_prev.bid")
     usual = cut(r.groupBy("symbol").agg(_median(F.abs(F.col("bid") - before)).alias("usual"), _median(F.col("spread")).alias("usual_spread")), "usual")
     r = r.join(usual, "symbol")
@@ -121,9 +120,7 @@ def flag_ticks(ticks: DataFrame, moves: float = 25, longest: int = 3, stuck: int
         .select("symbol", F.explode(F.slice(F.array("ts", *[x.ts for x in nexts[:-1]]), F.lit(1), F.col("size"))).alias("ts"), F.lit("spike").alias("reason"))
     )
 
-    runs = chunk_runs(r, ["symbol"], "day", "ts", before.isNull() | (F.col("bid") != before))
-    held = runs.groupBy("symbol", "run_start").count().filter(F.col("count") >= stuck).select("symbol", "run_start")
-    frozen = runs.join(held, ["symbol", "run_start"], "left_semi").select("symbol", "ts", F.lit("stuck").alias("reason"))
+    frozen = _stuck(r, "symbol", "ts", stuck)
     at_once = F.array(
         F.when(F.col("bid") <= 0, F.lit("range")), F.when((F.col("spread") < 0) | (F.col("spread") >= F.col("usual_spread") * wide), F.lit("spread"))
     )
@@ -147,7 +144,7 @@ def flag_bars(bars: DataFrame, jumps: float = 15, stuck: int = 10, row: int = 96
         .groupBy("dataset_id", "chunk", "bar_index")
         .agg(*[F.min(c).alias(c) for c in ("Open", "High", "Low", "Close")])
     )
-    b = cut(chunk_neighbours(b, ["dataset_id"], "chunk", "bar_index", F.struct("High", "Low")), "bars")
+    b = cut(chunk_neighbours(b, ["dataset_id"], "chunk", "bar_index", F.struct("High", "Low"), run_of=F.struct("High", "Low")), "bars")
     b = b.join(cut(b.groupBy("dataset_id").agg(_median(F.col("High") - F.col("Low")).alias("usual")), "usual"), "dataset_id")
     prev, nxt = F.col("nb_prev"), F.col("nb_next1")
 
@@ -161,15 +158,18 @@ def flag_bars(bars: DataFrame, jumps: float = 15, stuck: int = 10, row: int = 96
     below = F.coalesce(prev.Low - F.col("Low") > limit, F.lit(True)) & F.coalesce(nxt.Low - F.col("Low") > limit, F.lit(True))
     spikes = cells.join(odd.select("dataset_id", "day", "slot"), ["dataset_id", "day", "slot"], "left_semi").filter(~none & (above | below)).select("dataset_id", "bar_index", F.lit("spike").alias("reason"))
 
-    same = (F.col("High") == prev.High) & (F.col("Low") == prev.Low)
-    runs = chunk_runs(b, ["dataset_id"], "chunk", "bar_index", prev.isNull() | ~same)
-    held = runs.groupBy("dataset_id", "run_start").count().filter(F.col("count") >= stuck).select("dataset_id", "run_start")
-    frozen = runs.join(held, ["dataset_id", "run_start"], "left_semi").select("dataset_id", "bar_index", F.lit("stuck").alias("reason"))
+    frozen = _stuck(b, "dataset_id", "bar_index", stuck)
     top, bottom = F.greatest("Low", "Open", "Close"), F.least("Open", "Close", "High")
     ranges = b.filter((F.col("High") < top) | (F.col("Low") > bottom) | (F.col("Low") <= 0)).select("dataset_id", "bar_index", F.lit("range").alias("reason"))
     return _reasons(spikes.unionByName(frozen).unionByName(ranges), "dataset_id", "bar_index")
 
 
+def _stuck(r: DataFrame, source: str, position: str, least: int) -> DataFrame:
+    """The rows of runs of `least` or more equal values. Runs are counted before they are joined."""
+    held = r.groupBy(source, "run_start").count().filter(F.col("count") >= least).select(source, "run_start")
+    return r.select(source, "run_start", position).join(held, [source, "run_start"], "left_semi").select(source, position, F.lit("stuck").alias("reason"))
+
+
 def _in_units(jump: Column, usual: Column) -> Column:
     """Size of a jump in usual moves, as a logarithm. Where the usual move is nothing, any jump is as large as can be."""
     return F.when(usual > 0, F.log1p(jump / usual)).otherwise(F.when(jump > 0, 700.0).when(jump == 0, 0.0))
