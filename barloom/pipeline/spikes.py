@@ -67,7 +67,9 @@ def sparse_cells(cells: DataFrame, source: str, limit: float) -> DataFrame:
         return pd.DataFrame({source: pdf[source].iloc[0], "day": days[i], "slot": slots[j], "excess": rest[i, j]})
 
     kind = dict(cells.dtypes)[source]
-    return cells.withColumn("block", F.floor(F.col("day") / ROWS)).groupBy(source, "block").applyInPandas(part, f"{source} {kind}, day long, slot int, excess double")
+    blocks = cells.withColumn("block", F.floor(F.col("day") / ROWS)).groupBy(source, "block")
+    # Written out, so that its size is known before it is joined: the readings then move only if it is large.
+    return cut(blocks.applyInPandas(part, f"{source} {kind}, day long, slot int, excess double"), "cells")
 
 
 def _median(c: Column) -> Column:
@@ -166,7 +168,7 @@ def flag_bars(bars: DataFrame, jumps: float = 15, stuck: int = 10, row: int = 96
 
 def _stuck(r: DataFrame, source: str, position: str, least: int) -> DataFrame:
     """The rows of runs of `least` or more equal values. Runs are counted before they are joined."""
-    held = r.groupBy(source, "run_start").count().filter(F.col("count") >= least).select(source, "run_start")
+    held = cut(r.groupBy(source, "run_start").count().filter(F.col("count") >= least).select(source, "run_start"), "held")
     return r.select(source, "run_start", position).join(held, [source, "run_start"], "left_semi").select(source, position, F.lit("stuck").alias("reason"))
 
 
@@ -176,7 +178,7 @@ def _in_units(jump: Column, usual: Column) -> Column:
 
 
 def _reasons(flags: DataFrame, source: str, position: str) -> DataFrame:
-    return flags.groupBy(source, position).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    return cut(flags.groupBy(source, position).agg(F.array_sort(F.collect_set("reason")).alias("reasons")), "flags")
 
 
 def flagged_rows(rows: DataFrame, flags: DataFrame, on: dict[str, str]) -> DataFrame:

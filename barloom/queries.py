@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from barloom import feature_queries
 from barloom.common import table
 from barloom.pipeline import change_feed, regrid, schema_drift, spikes, timestamps
 
@@ -56,4 +56,8 @@ PIPELINE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(PIPELINE)
+    return PIPELINE | feature_queries.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(feature_queries.SQL)
