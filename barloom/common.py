@@ -109,7 +109,7 @@ def chunk_neighbours(df: DataFrame, keys: Sequence[str], chunk: str, order: str,
 
     As lag and lead over `keys` by `order`, but sorted in one task per chunk only (see chunk_prefix): what lies beyond a
     chunk's edge comes from a table with one row per chunk. `value` must not be null; `order` must be unique within `keys`. With `run_of`, which must not be null either,
-    `run` is the `order` of the first row of the run of equal `run_of` that a row is in.
+    `run` is the `order` of the first row of the run of equal `run_of` that a row is in. Rows are written to the shared folder on the way: the result can be read several times.
     """
     v, rn, last, first, n, before, beyond, same, begun, mark = free_names(df, [f"{x}_nb" for x in ("v", "rn", "last", "first", "n", "before", "beyond", "same", "begun", "mark")])
     w = Window.partitionBy(*keys, chunk).orderBy(order)
@@ -117,7 +117,8 @@ def chunk_neighbours(df: DataFrame, keys: Sequence[str], chunk: str, order: str,
     df = df.select("*", F.row_number().over(w).alias(rn), F.lag(v).over(w).alias(f"{prefix}_prev"), F.lag(same).over(w).alias(begun), *[F.lead(v, k).over(w).alias(f"{prefix}_next{k}") for k in range(1, after + 1)])
     # Within a chunk a run begins where the value changes; that of the first row may have begun before.
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn(mark, F.max(F.when(F.col(begun) != F.col(same), F.col(order))).over(upto))
+    # Written once: the edges and the rows are both read from it, and the rows as often as the result is.
+    df = cut(df.withColumn(mark, F.max(F.when(F.col(begun) != F.col(same), F.col(order))).over(upto)).drop(begun), "local")
     edges = df.groupBy(*keys, chunk).agg(
         F.max_by(F.struct(v, same), order).alias(last),
         F.array_sort(F.collect_list(F.when(F.col(rn) <= max(after, 1), F.struct(order, v, same)))).alias(first),
@@ -131,8 +132,8 @@ def chunk_neighbours(df: DataFrame, keys: Sequence[str], chunk: str, order: str,
     own = F.when(F.col(before).isNull() | (F.col(before)[same] != F.col(first)[0][same]), F.col(first)[0][order])
     edges = edges.withColumn(begun, own).withColumn(last, F.coalesce(mark, begun))
     carried = F.last(last, ignorenulls=True).over(wk.rowsBetween(Window.unboundedPreceding, -1))
-    edges = edges.select(*keys, chunk, n, F.col(before)[v].alias(before), beyond, F.coalesce(F.col(begun), carried).alias(begun))
-    df = df.drop(begun).join(edges, [*keys, chunk])
+    edges = cut(edges.select(*keys, chunk, n, F.col(before)[v].alias(before), beyond, F.coalesce(F.col(begun), carried).alias(begun)), "edges")
+    df = df.join(edges, [*keys, chunk])
     out = [F.coalesce(f"{prefix}_prev", F.when(F.col(rn) == 1, F.col(before))).alias(f"{prefix}_prev")]
     for k in range(1, after + 1):
         at = (F.lit(k - 1) - (F.col(n) - F.col(rn))).cast("int")

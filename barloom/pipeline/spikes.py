@@ -96,7 +96,7 @@ def flag_ticks(ticks: DataFrame, moves: float = 25, longest: int = 3, stuck: int
         .agg(F.min("bid").alias("bid"), F.min("spread").alias("spread"))
     )
     r = chunk_neighbours(r, ["symbol"], "day", "ts", F.struct("bid", "ts"), after=longest, run_of=F.col("bid"))
-    r = cut(r.drop("day"), "readings").withColumn("day", day).withColumn("slot", F.floor(F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(86_400_000_000)) / (86_400_000_000 // slots)).cast("int"))
+    r = r.withColumn("slot", F.floor(F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(86_400_000_000)) / (86_400_000_000 // slots)).cast("int"))
     before = F.col("nb_prev.bid")
     usual = cut(r.groupBy("symbol").agg(_median(F.abs(F.col("bid") - before)).alias("usual"), _median(F.col("spread")).alias("usual_spread")), "usual")
     r = r.join(usual, "symbol")
@@ -146,7 +146,7 @@ def flag_bars(bars: DataFrame, jumps: float = 15, stuck: int = 10, row: int = 96
         .groupBy("dataset_id", "chunk", "bar_index")
         .agg(*[F.min(c).alias(c) for c in ("Open", "High", "Low", "Close")])
     )
-    b = cut(chunk_neighbours(b, ["dataset_id"], "chunk", "bar_index", F.struct("High", "Low"), run_of=F.struct("High", "Low")), "bars")
+    b = chunk_neighbours(b, ["dataset_id"], "chunk", "bar_index", F.struct("High", "Low"), run_of=F.struct("High", "Low"))
     b = b.join(cut(b.groupBy("dataset_id").agg(_median(F.col("High") - F.col("Low")).alias("usual")), "usual"), "dataset_id")
     prev, nxt = F.col("nb_prev"), F.col("nb_next1")
 
@@ -184,7 +184,8 @@ def _reasons(flags: DataFrame, source: str, position: str) -> DataFrame:
 def flagged_rows(rows: DataFrame, flags: DataFrame, on: dict[str, str]) -> DataFrame:
     """`row_id` and reasons of the rows, each copy included, at the flagged positions; `on` maps a column of `rows` to one of `flags`."""
     f = flags.select(*[F.col(b).alias(f"_{b}") for b in on.values()], "reasons")
-    return rows.join(f, [rows[a] == f[f"_{b}"] for a, b in on.items()]).select("row_id", "reasons")
+    r = rows.select("row_id", *on)
+    return r.join(f, [r[a] == f[f"_{b}"] for a, b in on.items()]).select("row_id", "reasons")
 
 
 def implausible(ticks: DataFrame, bars: DataFrame) -> DataFrame:
