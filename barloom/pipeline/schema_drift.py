@@ -102,7 +102,7 @@ def _versions(registry: DataFrame) -> DataFrame:
 def _comparable(cell: Column, instant: Column) -> Column:
     """A value so that equal readings are equal texts: numbers without notation and unit, times as instants."""
     number = F.regexp_extract(cell.value, rf"^[^\d.+-]{{0,3}}\s*({_NUMBER})\s*[A-Za-z%]{{0,4}}$", 1)
-    return F.when(cell.value == "", None).when(cell.type == "time", F.coalesce(instant.cast("string"), cell.value)).when(
+    return F.when(cell.value == "", None).when(instant.isNotNull(), instant.cast("string")).when(
         (cell.type != "boolean") & (number != ""), number.try_cast("double").cast("string")
     ).otherwise(F.lower(cell.value))
 
