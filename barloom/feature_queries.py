@@ -240,10 +240,10 @@ def _exits(spark: SparkSession, sf: str) -> DataFrame:
     return stages.box_exits(darvas_box().apply(event_bars(spark, sf)), Lane()).select("symbol", "bar_index", "is_box_exit")
 
 
-@query("f_listing", f"""WITH {BARS}, {RANGES}, {HULL}, {DISTANCE} SELECT symbol, bar_index AS bar, printf('%.3f', close) AS close, printf('%.3f', reference_price) AS reference FROM dist_ WHERE bar_index BETWEEN 10 AND 300 AND bar_index % 7 = 0""")
+@query("f_listing", f"""WITH {BARS}, {RANGES}, {BOX}, {DISTANCE} SELECT symbol, bar_index AS bar, printf('%.5f', close) AS close, printf('%.5f', reference_price) AS reference, printf('%.5f', distance_signed) AS dir
+ FROM dist_ WHERE bar_index BETWEEN 10 AND 300 AND bar_index % 7 = 0""")
 def _listing(spark: SparkSession, sf: str) -> DataFrame:
-    df = series.listing(hma().apply(event_bars(spark, sf)), 10, 300, 7)
-    return df.select("symbol", "bar", *[F.format_string("%.3f", F.col(c).cast("double")).alias(c) for c in ("close", "reference")])
+    return series.listing(darvas_box().apply(event_bars(spark, sf)), 10, 300, 7).select("symbol", "bar", "close", "reference", "dir")
 
 
 @query("f_chart_series")

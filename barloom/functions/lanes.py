@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barloom.common import free_names
+from barloom.common import cut, free_names
 
 PART, HALO = "_lane_part", "_lane_halo"
 
@@ -58,7 +58,7 @@ class Lane:
         if not self.part_bars:
             return df.withColumns({n: F.last(v, ignorenulls=True).over(w) for n, v in values.items()})
         own = free_names(df, [f"_own_{n}" for n in values])
-        df = df.withColumns(dict(zip(own, values.values())))
+        df = cut(df.withColumns(dict(zip(own, values.values()))), "lane")  # read twice below
         ends = df.groupBy(*self.keys).agg(*[F.max_by(o, F.when(F.col(o).isNotNull(), F.col(self.order))).alias(f"_head{o}") for o in own])
         before = Window.partitionBy(self.key).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
         heads = ends.select(*self.keys, *[F.last(f"_head{o}", ignorenulls=True).over(before).alias(f"_head{o}") for o in own])
@@ -71,7 +71,7 @@ class Lane:
         if not self.part_bars:
             return df.withColumns({n: F.lag(v).over(w) for n, v in values.items()})
         own = free_names(df, [f"_own_{n}" for n in values])
-        df = df.withColumns(dict(zip(own, values.values())))
+        df = cut(df.withColumns(dict(zip(own, values.values()))), "lane")  # read twice below
         ends = df.groupBy(*self.keys).agg(*[F.max_by(o, self.order).alias(f"_head{o}") for o in own])
         heads = ends.select(*self.keys, *[F.lag(f"_head{o}").over(Window.partitionBy(self.key).orderBy(PART)).alias(f"_head{o}") for o in own])
         first = F.row_number().over(w) == 1
@@ -84,7 +84,7 @@ class Lane:
         if not self.part_bars:
             return df.withColumns({n: F.sum(v).over(w) for n, v in values.items()})
         own = free_names(df, [f"_own_{n}" for n in values])
-        df = df.withColumns(dict(zip(own, values.values())))
+        df = cut(df.withColumns(dict(zip(own, values.values()))), "lane")  # read twice below
         before = Window.partitionBy(self.key).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
         heads = df.groupBy(*self.keys).agg(*[F.sum(o).alias(f"_head{o}") for o in own])
         heads = heads.select(*self.keys, *[F.coalesce(F.sum(f"_head{o}").over(before), F.lit(0)).alias(f"_head{o}") for o in own])

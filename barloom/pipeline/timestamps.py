@@ -62,6 +62,12 @@ def abbreviations(zones: Sequence[str], since: int = 1970, until: int = 2038) ->
     return found
 
 
+def known_zones(df: DataFrame) -> list[str]:
+    """Names of the zones that the session knows. Others would end a query, so times in them stay unresolved."""
+    jvm = df.sparkSession.sparkContext._jvm
+    return sorted(jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds()).split(","))
+
+
 def _days(y: Column, m: Column, d: Column) -> Column:
     """Days since 1970-01-01 of a civil date, counted from March so that the leap day comes last."""
     y = y - F.when(m <= 2, 1).otherwise(0)
@@ -131,6 +137,7 @@ def parse_times(df: DataFrame, text: str, zone: str, date_order: str, offsets: d
     fixed = F.coalesce(F.col(f"{k}.e"), F.when(zt.isNotNull(), F.col(w) - offset.cast("long") * US))
     free = F.when(zt.isNull() & F.col(f"{k}.e").isNull(), F.col(w))
     df = settled(df.drop(early, late), **{early: fixed, u: free, z: F.coalesce(F.col(f"{k}.r"), F.col(zone))})
+    df = settled(df, **{z: F.when(F.col(z).isin(known_zones(df)), F.col(z))})
     df = settled(df.drop(w), **{w: F.col(u), u: _utc(F.col(u), F.col(z))})
     later = F.col(w) + F.col(u) + DAY_US - _wall(F.col(u) + DAY_US, F.col(z))
     df = settled(df, **{a: later, u: F.when(_wall(F.col(u), F.col(z)) == F.col(w), F.col(u))})
