@@ -61,9 +61,10 @@ def pack(items: DataFrame, sizes: DataFrame, item: str = "doc_id", size: str = "
     all_items = cut(all_items, "sized")
     count = all_items.count()
     shards = max(1, -(-count // shard_items))
-    # Sizes of packs are a small table of settings; each item meets each of them.
-    both = all_items.join(F.broadcast(caps.groupBy().agg(F.collect_list(F.struct("pack_name", "capacity")).alias("caps"))))
-    both = both.select("item", "n", F.explode("caps").alias("c")).select("item", "n", "c.pack_name", "c.capacity")
+    # Sizes of packs are settings, a row each; every item is packed once for each of them.
+    named = [(r["pack_name"], r["capacity"]) for r in caps.orderBy("pack_name").collect()]
+    each = F.array(*[F.struct(F.lit(a).alias("pack_name"), F.lit(c).alias("capacity")) for a, c in named]) if named else F.from_json(F.lit("[]"), "array<struct<pack_name:string,capacity:long>>")
+    both = all_items.select("item", "n", F.inline(each))
     both = both.withColumn("shard", F.pmod(F.xxhash64("item", "n", "pack_name"), F.lit(shards)).cast("int"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

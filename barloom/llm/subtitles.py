@@ -26,7 +26,9 @@ _WEB = ["www.", "http:", "https:", ".example", ".com ", " crew ", " team "]
 
 # A time line, the number before it included.
 _TIME_LINE = re.compile(r"\n[\s\ufeff0-9OoIl:.,]*-->[^\n\x02]*")
-_MARKUP = re.compile(r"<[^>\n]*>|\{[^}\n]*\}|\[[^\]\x01\x02]*\]|\([^)\x01\x02]*\)|\*[^*\x01\x02]*\*|[♪♫][^♪♫\n\x01\x02]*[♪♫]|\n[ \t-]*[A-ZÀ-Þ][A-ZÀ-Þ .]+:")
+_MARKUP = re.compile(r"<[^>\n]*>|\{[^}\n]*\}|\[[^\]\x01\x02]*\]|\([^)\x01\x02]*\)|\*[^*\x01\x02]*\*|[♪♫][^♪♫\n\x01\x02]*[♪♫]")
+# A speaker's name in capitals before what is said.
+_SPEAKER = re.compile(r"\n(?:[ \t-]|<[^>\n]*>|\{[^}\n]*\})*[A-ZÀ-ÞА-ЯЁІЇЄҐ][A-ZÀ-ÞА-ЯЁІЇЄҐ .]+:")
 # Letters that a Cyrillic text in a one-byte code page becomes when it is read as a western one.
 _HIGH = re.compile(r"[À-ÿ¸¨³²ºª¿¯´¥¹¾¼½]{3,}")
 _SHORT = re.compile(r"\b[À-ÿ³]{1,2}\b")
@@ -51,7 +53,7 @@ def tokens_of(texts: list[str]) -> list[str]:
     """The dialogue of all texts in order, lower-cased and split at blanks; DOC ends a text, CUE begins a cue. Punctuation stays at its word."""
     joined = f" {DOC} \n".join(["", *[undo_encoding(t.replace(CUE, " ").replace(DOC, " ")) for t in texts]])[len(DOC) + 2 :]
     joined = joined.replace("\r\n", "\n").replace("\r", "\n")
-    joined = _MARKUP.sub(" ", _TIME_LINE.sub(f" {CUE} \n", joined)).lower().replace("\n", f" {LINE} ").replace("  ", " ").replace("  ", " ") + " "
+    joined = _MARKUP.sub(" ", _SPEAKER.sub("\n", _TIME_LINE.sub(f" {CUE}", joined))).lower().replace("\n", f" {LINE} ").replace("  ", " ").replace("  ", " ") + " "
     for needle in (*_WEB, *CREDITS):
         # A credit may be wrapped anywhere.
         words = needle.strip().split(" ")
