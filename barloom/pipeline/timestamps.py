@@ -13,7 +13,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.common import chunk_prefix, free_names, settled
+from barloom.common import chunk_prefix, cut, free_names, settled
 
 # The parts of a notation. Group names end in a letter of their own, as Java wants them distinct.
 _CLOCK = r"(?<h{k}>\d{{1,2}}):(?<n{k}>\d{{2}})(?::(?<s{k}>\d{{2}})(?:[.,](?<f{k}>\d+))?)?(?:\s*(?<p{k}>[AaPp][Mm])(?![A-Za-z]))?"
@@ -192,7 +192,9 @@ def table_times(registry: DataFrame, bars: DataFrame, quotes: DataFrame, recorde
         df = df.select("row_id", *more, F.col(text).alias("text"), "recorder_id").join(rec, "recorder_id", "left")
         return parse_times(df, "text", "zone", "date_order", offsets).withColumn("plain", F.coalesce(F.col("text").rlike(plain), F.lit(False)))
 
-    b = settle_twice(parsed(bars, "OpenTimeUtc", PLAIN_Z7, "dataset_id", "bar_index"), ["dataset_id"], "bar_index")
+    # Parsed once: settling reads the rows several times.
+    b = cut(parsed(bars, "OpenTimeUtc", PLAIN_Z7, "dataset_id", "bar_index").select("row_id", "dataset_id", "bar_index", "early_us", "late_us", "plain"), "bar_times")
+    b = settle_twice(b, ["dataset_id"], "bar_index")
     parts = [("bars", b.select("row_id", "utc_us", "plain"))]
     for name, df, text, plain in (("registry", registry, "first_timestamp", PLAIN_Z7), ("eurusd_quotes", quotes, "ts_utc", PLAIN_MS)):
         parts.append((name, parsed(df, text, plain).select("row_id", F.col("early_us").alias("utc_us"), "plain")))
