@@ -297,3 +297,11 @@ b4 AS (SELECT dataset_id, bar_index FROM b3 WHERE h < greatest(l, o, c) OR l > l
  OR ((ph IS NOT NULL OR nh IS NOT NULL) AND ((coalesce(h - ph > m, true) AND coalesce(h - nh > m, true)) OR (coalesce(pl - l > m, true) AND coalesce(nl - l > m, true)))))
 SELECT 'ticks' AS source_table, row_id FROM ticks t JOIN t4 ON t.symbol = t4.symbol AND t.ts_recv_utc = t4.ts WHERE t.bid IS NOT NULL
 UNION ALL SELECT 'bars', row_id FROM bars b JOIN b4 ON b.dataset_id = b4.dataset_id AND b.bar_index = b4.bar_index"""
+
+
+@query("f_long_run")
+def _long_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The composite plan as exports use it (statistics of 252 closes) over a bar for every line item; symbols are line numbers."""
+    t = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("string").alias("symbol"), F.col("l_shipdate").cast("timestamp").alias("ts"), "l_orderkey", F.col("l_extendedprice").cast("double").alias("value"))
+    b = bar_ops.tick_bars(t, 1, order=("ts", "l_orderkey"), price="value", spread=None)
+    return hma_atr_smooth(statistics_window=252, part_bars=16384).apply(b)

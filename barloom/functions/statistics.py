@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Statistic:
-    """A rolling statistic: `build(x, frame)` over a frame; `least` observations; `gaps` if it can be undefined beyond these (then the last value is kept)."""
+    """A rolling statistic: `build(x, frame)` over a frame, or `of_sorted(values, median)` of the frame's values in order and their median.
+
+    `least` observations; `gaps` if it can be undefined beyond these (then the last value is kept).
+    """
 
     name: str
     least: int
-    build: Callable[[Column, WindowSpec], Column]
+    build: Callable[[Column, WindowSpec], Column] | None = None
     gaps: bool = False
+    of_sorted: Callable[[Column, Column], Column] | None = None
+    standard: bool = False
 
 
 def _skewness(x: Column, w: WindowSpec) -> Column:
@@ -31,27 +36,21 @@ def _kurtosis(x: Column, w: WindowSpec) -> Column:
     return F.when(F.min(x).over(w) < F.max(x).over(w), F.try_divide(((n + 1) * F.kurtosis(x).over(w) + 6) * (n - 1), (n - 2) * (n - 3)))
 
 
-def _middle(sorted_: Column) -> Column:
+def middle(sorted_: Column) -> Column:
+    """Median of a sorted array; the mean of the two in the middle if their number is even."""
     n = F.size(sorted_)
-    lo, hi = F.get(sorted_, F.floor((n - 1) / 2).cast("int")), F.get(sorted_, F.floor(n / 2).cast("int"))
-    return (lo + hi) / 2
-
-
-def _median_deviation(x: Column, w: WindowSpec) -> Column:
-    """Median distance from the median, unscaled. The frame is gathered once as a sorted array; it has a bounded size."""
-    values = F.array_sort(F.collect_list(x).over(w))
-    return _middle(F.array_sort(F.transform(values, lambda v: F.abs(v - _middle(values)))))
+    return (F.get(sorted_, ((n - 1) / 2).cast("int")) + F.get(sorted_, (n / 2).cast("int"))) / 2
 
 
 STATISTICS: dict[str, Statistic] = {
-    s.name: s
+    s.name: replace(s, standard=True)
     for s in (
         Statistic("mean", 1, lambda x, w: F.avg(x).over(w)),
-        Statistic("median", 1, lambda x, w: F.percentile(x, F.lit(0.5)).over(w)),
-        Statistic("minimum", 1, lambda x, w: F.min(x).over(w)),
-        Statistic("maximum", 1, lambda x, w: F.max(x).over(w)),
-        Statistic("range", 1, lambda x, w: F.max(x).over(w) - F.min(x).over(w)),
-        Statistic("mad", 1, _median_deviation),
+        Statistic("median", 1, of_sorted=lambda values, median: median),
+        Statistic("minimum", 1, of_sorted=lambda values, median: F.get(values, F.lit(0))),
+        Statistic("maximum", 1, of_sorted=lambda values, median: F.get(values, F.size(values) - 1)),
+        Statistic("range", 1, of_sorted=lambda values, median: F.get(values, F.size(values) - 1) - F.get(values, F.lit(0))),
+        Statistic("mad", 1, of_sorted=lambda values, median: middle(F.sort_array(F.transform(values, lambda v: F.abs(v - median))))),
         Statistic("variance", 2, lambda x, w: F.var_samp(x).over(w)),
         Statistic("standard_deviation", 2, lambda x, w: F.stddev_samp(x).over(w)),
         Statistic("skewness", 3, _skewness, gaps=True),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.lanes import Lane, shifted
-from barloom.functions.statistics import STATISTICS
+from barloom.common import settled, shuffle_parts
+from barloom.functions.statistics import STATISTICS, middle
 
 SOURCES = ("close", "simple_return", "log_return")
 
@@ -30,18 +34,95 @@ def statistics(df: DataFrame, lane: Lane, window: int = 20, source: str = "close
     """
     if source not in SOURCES:
         raise ValueError(f"source must be one of {SOURCES}, not {source!r}")
+    picked = [STATISTICS[n] for n in (names or STATISTICS)]
+    always = retain and source == "close"  # closes are never missing: only the first bars lack a value
+    zero = lambda df, held: df.withColumns({f"statistics_{s.name}": F.coalesce(held[s.name], F.lit(0.0)) if always and not s.gaps else held[s.name] for s in picked}).drop("_x")
+    if window >= WIDE and all(s.standard for s in picked):
+        df = wide_statistics(df, lane, window, source, [s.name for s in picked])
+        return zero(df, {s.name: F.col(f"statistics_{s.name}") for s in picked})
     df = df.withColumn("_x", observed(lane, source))
     frame = lane.rows(window if source == "close" else window - 1)
-    n = F.count("_x").over(frame)
-    columns = {"statistics_observation_count": n.cast("int")}
-    for name in names or STATISTICS:
-        s = STATISTICS[name]
-        value = F.when(n >= s.least, s.build(F.col("_x"), frame))
-        columns[f"statistics_{name}"] = F.coalesce(value, F.lit(0.0)) if retain and not s.gaps and source == "close" else value
-    return df.withColumns(columns).drop("_x")
+    df = df.withColumns({"statistics_observation_count": F.count("_x").over(frame).cast("int"), **{f"statistics_{s.name}": s.build(F.col("_x"), frame) for s in picked if s.build}})
+    if any(s.of_sorted for s in picked):
+        # The frame's values are put in order once, for all statistics of rank.
+        df = df.withColumn("_values", F.sort_array(F.collect_list("_x").over(frame)))
+        df = settled(df, _median=middle(F.col("_values")))
+        df = df.withColumns({f"statistics_{s.name}": s.of_sorted(F.col("_values"), F.col("_median")) for s in picked if s.of_sorted}).drop("_values", "_median")
+    held = {s.name: F.when(F.col("statistics_observation_count") >= s.least, F.col(f"statistics_{s.name}")) for s in picked}
+    return zero(df, held)
 
 
 def retained(df: DataFrame, lane: Lane, source: str = "close", names: Sequence[str] | None = None) -> DataFrame:
     """Carry the last published value of statistics that can be undefined in between."""
     gaps = [f"statistics_{n}" for n in (names or STATISTICS) if STATISTICS[n].gaps or source != "close"]
     return lane.hold(df, **{c: F.col(c) for c in gaps}).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in gaps}) if gaps else df
+
+
+WIDE = 32  # from this window on, frames are computed as blocks of arrays: window functions visit every value of a frame for each bar and statistic
+
+
+def frame_statistics(frames: np.ndarray) -> dict[str, np.ndarray]:
+    """All standard statistics of each row of `frames`, NaN where it has no value or the statistic none."""
+    seen = ~np.isnan(frames)
+    n = seen.sum(1)
+    rows = np.arange(len(frames))
+
+    def middle_of(ordered: np.ndarray) -> np.ndarray:
+        hi, lo = np.maximum(n // 2, 0), np.maximum((n - 1) // 2, 0)
+        return (ordered[rows, np.minimum(hi, ordered.shape[1] - 1)] + ordered[rows, lo]) / 2
+
+    with np.errstate(all="ignore"):
+        ordered = np.sort(frames, axis=1)  # missing values come last
+        median = middle_of(ordered)
+        least, most = ordered[:, 0], ordered[rows, np.maximum(n - 1, 0)]
+        k = n.astype(float)
+        mean = np.where(seen, frames, 0.0).sum(1) / k
+        d = np.where(seen, frames - mean[:, None], 0.0)
+        d2 = d * d
+        m2 = d2.sum(1)
+        flat = ~(least < most)
+        b1, b2 = (d2 * d).sum(1) / k / (m2 / k) ** 1.5, (d2 * d2).sum(1) / k / (m2 / k) ** 2
+        variance = np.where(n >= 2, np.where(flat, 0.0, m2 / (k - 1)), np.nan)
+        return {
+            "observation_count": n, "mean": mean, "median": median, "minimum": least, "maximum": most, "range": most - least, "mad": middle_of(np.sort(np.abs(frames - median[:, None]), axis=1)),
+            "variance": variance, "standard_deviation": np.sqrt(variance), "skewness": np.where((n >= 3) & ~flat, b1 * np.sqrt(k * (k - 1)) / (k - 2), np.nan),
+            "kurtosis": np.where((n >= 4) & ~flat, ((k + 1) * (b2 - 3) + 6) * (k - 1) / ((k - 2) * (k - 3)), np.nan),
+        }
+
+
+def wide_statistics(df: DataFrame, lane: Lane, window: int, source: str, names: Sequence[str]) -> DataFrame:
+    """As window functions give them, for bars sorted within partitions: the last values are carried from batch to batch, so that no instrument is gathered."""
+    width = window + 1 if source == "close" else window
+    df = df.withColumn("_x", observed(lane, source))
+    columns = [f"statistics_{n}" for n in ("observation_count", *names)]
+    schema = T.StructType([*df.schema.fields, T.StructField(columns[0], T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in columns[1:]]])
+    keys = lane.keys
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, carry = None, np.empty(0)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = [b.column(b.schema.get_field_index(k)).to_pylist() for k in keys]
+            x = b.column(b.schema.get_field_index("_x")).to_numpy(zero_copy_only=False).astype(float)
+            new = np.ones(len(x), bool)
+            for k in ids:
+                a = np.array(k, object)
+                new[1:] = (a[1:] != a[:-1]) if k is ids[0] else new[1:] | (a[1:] != a[:-1])
+            cuts = [*np.flatnonzero(new).tolist(), len(x)]
+            out = {c: np.empty(len(x)) for c in columns}
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                key = tuple(k[lo] for k in ids)
+                if key != at:
+                    at, carry = key, np.full(width - 1, np.nan)
+                whole = np.concatenate([carry, x[lo:hi]])
+                frames = np.lib.stride_tricks.sliding_window_view(whole, width)
+                for i in range(0, hi - lo, 4096):
+                    got = frame_statistics(frames[i : i + 4096])
+                    for c in columns:
+                        out[c][lo + i : lo + i + len(got["mean"])] = got[c.removeprefix("statistics_")]
+                carry = whole[len(whole) - (width - 1) :]
+            arrays = [pa.array(out[columns[0]].astype(np.int32), pa.int32()), *[pa.array(out[c], pa.float64(), mask=np.isnan(out[c])) for c in columns[1:]]]
+            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, *columns])
+
+    return df.repartition(shuffle_parts(df.sparkSession), *keys).sortWithinPartitions(*keys, lane.order).mapInArrow(run, schema)

@@ -83,11 +83,15 @@ class FeaturePlan:
         df = lane.open(df, halo)
         df = self.level.bounded(df, lane)
         df = stages.scale_bounded(df, lane, self.scale_period)
-        df = rolling.statistics(df, lane, self.statistics_window, self.statistics_source, self.statistics, self.retain)
-        df = lane.close(df)
+        if self.part_bars:
+            df = self._statistics(df, lane)
+        df = self.level.carried(lane.close(df), lane)
+        if not self.part_bars:
+            # Behind the fold, through which nothing is pruned: unasked statistics are not computed.
+            df = self._statistics(df, lane)
         if self.retain:
             df = rolling.retained(df, lane, self.statistics_source, self.statistics)
-        df = stages.distances(self.level.carried(df, lane))
+        df = stages.distances(df)
         df = stages.reversals(df, lane, self.reversal_by_close)
         if isinstance(self.level, (AtrSmooth, HmaAtrSmooth)):
             df = stages.segments(df, lane)
@@ -103,6 +107,9 @@ class FeaturePlan:
         own = [c for c in df.columns if c.startswith("statistics_") and c not in BASE and c not in absent]
         return df.withColumns({c: v for c, v in absent.items() if c in BASE}).select(self.key, *self.columns, *own)
 
+    def _statistics(self, df: DataFrame, lane: Lane) -> DataFrame:
+        return rolling.statistics(df, lane, self.statistics_window, self.statistics_source, self.statistics, self.retain)
+
     def view(self, bars: DataFrame, name: str) -> DataFrame:
         """`apply`, registered as a view for SQL."""
         out = self.apply(bars)
