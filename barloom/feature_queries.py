@@ -304,4 +304,4 @@ def _long_run(spark: SparkSession, sf: str) -> DataFrame:
     """The composite plan as exports use it (statistics of 252 closes) over a bar for every line item; symbols are line numbers."""
     t = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("string").alias("symbol"), F.col("l_shipdate").cast("timestamp").alias("ts"), "l_orderkey", F.col("l_extendedprice").cast("double").alias("value"))
     b = bar_ops.tick_bars(t, 1, order=("ts", "l_orderkey"), price="value", spread=None)
-    return hma_atr_smooth(statistics_window=252, part_bars=16384).apply(b)
+    return hma_atr_smooth(statistics_window=252).apply(b)
