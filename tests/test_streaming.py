@@ -19,7 +19,7 @@ def test_live_equals_batch_and_republishing_changes_nothing(spark, plan):
     m = messages()
     # Every bar is published three times, the first two with other prices.
     noisy = pd.concat([m.assign(close=m.close + 1, high=m.high + 2, r=0), m.assign(low=m.low - 3, r=1), m.assign(r=2)]).sort_values(["bar_index", "r"])
-    live = replay(noisy, plan).groupby("bar_index").last()
+    live = replay(noisy, plan).drop_duplicates("bar_index", keep="last").set_index("bar_index")
     rows = [("X", int(r.bar_index), None, r.close, r.high, r.low, r.close, r.volume) for r in m.itertuples()]
     batch = plan.apply(spark.createDataFrame(rows, SCHEMA)).toPandas().set_index("bar_index").sort_index()
     for c in live.columns:
