@@ -3,6 +3,9 @@
 Each instrument keeps two states: that after the last closed bar, and none for the live one. A message for the live bar starts from the closed state
 again, so that publishing a bar ten times leaves the same result as once. The next bar closes the live one. Anything else (a gap, a bar
 that is long closed) is refused and reported; its instrument is then replayed from the bar store, in batch or by a fresh query.
+
+All columns of the plan are published, by its statistics source and options. A plan with a level or statistics of your own, or a strict one, is
+refused with ValueError: their expressions exist for DataFrames only, and a live bar may still change.
 """
 
 from __future__ import annotations
@@ -13,18 +16,32 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.statistics import STATISTICS
 from barloom.operators.levels import AtrSmooth, DarvasBox, Hma, HmaAtrSmooth, trailing_step
+from barloom.operators.rolling import frame_statistics
 from barloom.plans import FeaturePlan
 
-_OUT = (
-    "symbol string, bar_index int, status string, reference_price double, reference_regime int, distance_signed double, distance_absolute double, scale double, normalized_measurement double,"
-    " statistics_observation_count int, statistics_mean double, statistics_variance double, reversal_bars_since int, reversal_direction int, reversal_is_bar boolean,"
-    " segment_id int, segment_age int, segment_transition int"
-)
+# The published columns that are no doubles.
+_INTS = [
+    "bar_index", "reference_regime", "statistics_observation_count", "reversal_bars_since", "reversal_direction", "segment_regime", "segment_id", "segment_start_index", "segment_age",
+    "segment_transition", "hma_price_atrsmooth_alignment",
+]
+_FLAGS = ["reversal_is_bar", "darvas_has_box"]
+
+
+def possible(plan: FeaturePlan) -> None:
+    """ValueError for a plan that has no live twin."""
+    if not isinstance(plan.level, (AtrSmooth, DarvasBox, Hma, HmaAtrSmooth)):
+        raise ValueError("a live plan cannot have a level of your own")
+    if own := [n for n in plan.statistics if not STATISTICS[n].standard]:
+        raise ValueError(f"a live plan cannot have statistics of your own: {own}")
+    if plan.strict:
+        raise ValueError("a live plan cannot be strict")
 
 
 @dataclass
@@ -49,9 +66,12 @@ class Engine:
     way: int = 0
     segment: int = -1
     segment_start: int | None = None
+    observed: deque = field(default_factory=deque)
+    kept: dict = field(default_factory=dict)
+    meant: deque = field(default_factory=deque)
 
     def copy(self) -> Engine:
-        return Engine(**{k: deque(v) if isinstance(v, deque) else v for k, v in self.__dict__.items()})
+        return Engine(**{k: v.copy() if isinstance(v, (deque, dict)) else v for k, v in self.__dict__.items()})
 
 
 def _store(closed: Engine, live: tuple | None) -> bytes:
@@ -61,6 +81,8 @@ def _store(closed: Engine, live: tuple | None) -> bytes:
 
 def _load(data: bytes) -> tuple[Engine, tuple | None]:
     fields, live = pickle.loads(data)
+    if fields.keys() != Engine().__dict__.keys():
+        raise ValueError("the checkpoint holds states of another version: replay its instruments by a fresh query")
     return Engine(**fields), live
 
 
@@ -70,10 +92,47 @@ def _wma(values: list[float], n: int) -> float | None:
     return sum(v * (k + 1) for k, v in enumerate(values[-n:])) / (n * (n + 1) / 2)
 
 
-def step(e: Engine, plan: FeaturePlan, bar: tuple[float, float, float, float]) -> tuple[Engine, dict]:
-    """One bar (high, low, close, volume) after state `e`; `e` itself is not changed."""
+def _observed(source: str, before: float | None, close: float) -> float:
+    """What statistics observe at a bar, NaN where a return has no positive closes."""
+    if source == "close":
+        return close
+    if before is None or not (close > 0 and before > 0):
+        return math.nan
+    return close / before - 1 if source == "simple_return" else math.log(close / before)
+
+
+def _statistics(e: Engine, plan: FeaturePlan) -> dict:
+    """Statistics of the frame that ends at the bar; a value that is missing is the last one, as the plan retains it. `e` takes the values."""
+    width = plan.statistics_window + (plan.statistics_source == "close")
+    found = {n: v[0].item() for n, v in frame_statistics(np.array([list(e.observed)[-width:]], float)).items()}
+    out = {"statistics_observation_count": found["observation_count"]}
+    for n in STATISTICS:
+        v = found.get(n, math.nan)
+        if n not in plan.statistics:
+            v = None
+        elif not math.isnan(v):
+            e.kept[n] = v
+        else:
+            v = e.kept.get(n, 0.0) if plan.retain else None
+        out[f"statistics_{n}"] = v
+    return out
+
+
+def _mean(e: Engine, plan: FeaturePlan, x: float | None) -> float | None:
+    """Mean of the last values of `x` that are there."""
+    e.meant.append(x)
+    while len(e.meant) > plan.mean_window:
+        e.meant.popleft()
+    there = [v for v in e.meant if v is not None]
+    return sum(there) / len(there) if there else None
+
+
+def step(e: Engine, plan: FeaturePlan, bar: tuple) -> tuple[Engine, dict]:
+    """One bar (ts, open, high, low, close, volume) after state `e`: the state after it and all of `plan.columns`; `e` itself is not changed."""
+    possible(plan)
     e = e.copy()
-    high, low, close, volume = bar
+    ts, begin, high, low, close, published = bar
+    volume = 0.0 if published is None or math.isnan(published) else published
     at = e.at + 1
     before = e.closes[-1] if e.closes else None
     level = plan.level
@@ -81,7 +140,7 @@ def step(e: Engine, plan: FeaturePlan, bar: tuple[float, float, float, float]) -
     hull = level.hma if isinstance(level, HmaAtrSmooth) else level if isinstance(level, Hma) else None
     box = level if isinstance(level, DarvasBox) else None
     tr = high - low if before is None else max(high - low, abs(high - before), abs(low - before))
-    for q, x in ((e.closes, close), (e.highs, high), (e.lows, low), (e.volumes, volume or 0.0)):
+    for q, x in ((e.closes, close), (e.highs, high), (e.lows, low), (e.volumes, volume), (e.observed, _observed(plan.statistics_source, before, close))):
         q.append(x)
     if at:
         e.ranges.append(tr)
@@ -126,20 +185,40 @@ def step(e: Engine, plan: FeaturePlan, bar: tuple[float, float, float, float]) -
     if regime and (e.regime is None or regime != e.regime[1]):
         e.segment, e.segment_start = e.segment + 1, at
         moved = regime if e.regime is not None and e.regime[1] else 0
-    seen = closes[-plan.statistics_window - 1 :]
-    mean_close = sum(seen) / len(seen)
+    row = {
+        "bar_index": at, "timestamp": ts, "open": begin, "high": high, "low": low, "close": close, "tick_volume": published,
+        "reference_price": price, "reference_regime": regime, "distance_signed": signed, "distance_absolute": abs(signed), "scale": scale,
+        "normalized_measurement": abs(signed) / scale if scale > 0 else None, **_statistics(e, plan),
+        "reversal_bars_since": None if e.turn is None else at - e.turn, "reversal_direction": e.way, "reversal_is_bar": turned,
+    }
+    if atr:
+        within = lambda x: x if regime else None
+        start = e.segment_start
+        row |= {
+            "segment_regime": within(regime), "segment_id": within(e.segment), "segment_start_index": within(start), "segment_age": within(at - start if regime else None),
+            "segment_transition": moved,
+        }
+    if box:
+        top, bottom = e.box
+        beyond = None if top is None else close - top if close > top else close - bottom if close < bottom else 0.0
+        row |= {
+            "darvas_has_box": top is not None, "darvas_signed_closing_distance": beyond, "darvas_absolute_closing_distance": None if beyond is None else abs(beyond),
+            "darvas_mean_signed_distance": _mean(e, plan, beyond),
+        }
+    if atr and hull:
+        gap = None if e.hma is None else e.hma - price
+        row |= {
+            "mean_hma_atrsmooth_distance": _mean(e, plan, gap),
+            "hma_price_atrsmooth_alignment": 0 if e.hma is None or e.hma == price or close == price else 1 if (e.hma > price) == (close > price) else -1,
+            "hma_atrsmooth_separation": gap / scale if gap is not None and scale > 0 else None,
+            "hma_atrsmooth_relative_close_position": signed / gap if gap else None,
+        }
     e.regime, e.at = (state, regime), at
     keep = max(level.halo, plan.scale_period, plan.statistics_window) + 2
-    for q in (e.closes, e.highs, e.lows, e.volumes, e.ranges, e.raws):
+    for q in (e.closes, e.highs, e.lows, e.volumes, e.ranges, e.raws, e.observed):
         while len(q) > keep:
             q.popleft()
-    return e, {
-        "bar_index": at, "reference_price": price, "reference_regime": regime, "distance_signed": signed, "distance_absolute": abs(signed), "scale": scale,
-        "normalized_measurement": abs(signed) / scale if scale > 0 else None, "statistics_observation_count": len(seen), "statistics_mean": mean_close,
-        "statistics_variance": sum((x - mean_close) ** 2 for x in seen) / (len(seen) - 1) if len(seen) > 1 else 0.0,
-        "reversal_bars_since": None if e.turn is None else at - e.turn, "reversal_direction": e.way, "reversal_is_bar": turned,
-        "segment_id": e.segment if regime and atr else None, "segment_age": at - e.segment_start if regime and atr else None, "segment_transition": moved if atr else 0,
-    }
+    return e, {c: row[c] for c in plan.columns}
 
 
 def advance(closed: Engine, live: tuple | None, plan: FeaturePlan, index: int, bar: tuple) -> tuple[Engine, tuple | None, dict]:
@@ -155,22 +234,36 @@ def advance(closed: Engine, live: tuple | None, plan: FeaturePlan, index: int, b
     return closed, (index, bar), row | {"status": status}
 
 
+def _messages(bars: pd.DataFrame) -> Iterator[tuple[int, tuple]]:
+    """Index and bar of each message; a time or opening price that messages lack is None."""
+    none = [None] * len(bars)
+    values = [bars[c] if c in bars else none for c in ("ts", "open", "high", "low", "close", "volume")]
+    return ((int(i), bar) for i, *bar in zip(bars["bar_index"], *values))
+
+
 def replay(bars: pd.DataFrame, plan: FeaturePlan) -> pd.DataFrame:
-    """Features of one instrument's messages in order, as a live query gives them."""
+    """Features of one instrument's messages in order, as a live query gives them: status and the plan's columns, without a time or opening price that messages lack."""
+    possible(plan)
     closed, live, rows = Engine(), None, []
-    for i, h, low, c, v in zip(bars["bar_index"], bars["high"], bars["low"], bars["close"], bars["volume"]):
-        closed, live, row = advance(closed, live, plan, int(i), (h, low, c, 0.0 if v is None or math.isnan(v) else v))
+    for i, bar in _messages(bars):
+        closed, live, row = advance(closed, live, plan, i, tuple(bar))
         rows.append(row)
-    return pd.DataFrame(rows)
+    lacking = [out for out, c in (("timestamp", "ts"), ("open", "open")) if c not in bars]
+    return pd.DataFrame(rows, columns=[*plan.columns, "status"]).drop(columns=lacking)
 
 
 def live_features(bars: DataFrame, plan: FeaturePlan) -> DataFrame:
-    """Features of a stream of bar messages (symbol, bar_index, high, low, close, volume, and `seq`, their order), a row for each.
+    """Features of a stream of bar messages (the plan's key, bar_index, high, low, close, volume, and `seq`, their order), a row for each: key, status and the plan's columns.
 
-    Messages of one micro-batch apply in order of bar_index and seq. The state of an instrument is bounded by the plan's look-back.
+    `ts` and `open` are passed on where the stream has them, else null. Messages of one micro-batch apply in order of bar_index and seq. The state of an
+    instrument is bounded by the plan's look-back.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    possible(plan)
+    kinds = dict(bars.dtypes)
+    types = {plan.key: kinds[plan.key], "bar_index": "int", "status": "string"} | {c: "int" if c in _INTS else "boolean" if c in _FLAGS else "double" for c in plan.columns} | {"timestamp": kinds.get("ts", "timestamp")}
+
     class Live(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.state = handle.getValueState("engine", "data binary")
@@ -178,21 +271,21 @@ def live_features(bars: DataFrame, plan: FeaturePlan) -> DataFrame:
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             closed, live = _load(bytes(self.state.get()[0])) if self.state.exists() else (Engine(), None)
             out = []
-            for r in pd.concat(list(rows)).sort_values(["bar_index", "seq"]).itertuples():
-                closed, live, row = advance(closed, live, plan, int(r.bar_index), (r.high, r.low, r.close, 0.0 if r.volume is None or math.isnan(r.volume) else r.volume))
+            for i, bar in _messages(pd.concat(list(rows)).sort_values(["bar_index", "seq"])):
+                closed, live, row = advance(closed, live, plan, i, tuple(bar))
                 out.append(row)
             self.state.update((_store(closed, live),))
-            names = [x.split()[0] for x in _OUT.split(", ") if x.strip()]
-            pdf = pd.DataFrame(out).reindex(columns=names).assign(symbol=key[0])
-            for c in ("reversal_bars_since", "segment_id", "segment_age", "segment_transition", "reference_regime", "reversal_direction", "statistics_observation_count"):
-                pdf[c] = pdf[c].astype("Int32")
-            yield pdf.astype({"reversal_is_bar": "boolean"})
+            pdf = pd.DataFrame(out, columns=list(types)).assign(**{plan.key: key[0]})
+            pdf = pdf.astype({c: {"int": "Int32", "boolean": "boolean", "double": "float64"}[t] for c, t in types.items() if c not in (plan.key, "status", "timestamp")})
+            yield pdf.assign(timestamp=pd.to_datetime(pdf["timestamp"]))
 
         def close(self) -> None:
             pass
 
-    return bars.select("symbol", "bar_index", "high", "low", "close", "volume", "seq").groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=Live(), outputStructType=_OUT, outputMode="Update", timeMode="None"
+    prices = [F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume") if c in kinds or c != "open"]
+    picked = bars.select(plan.key, "bar_index", *[c for c in ("ts",) if c in kinds], *prices, "seq")
+    return picked.groupBy(plan.key).transformWithStateInPandas(
+        statefulProcessor=Live(), outputStructType=", ".join(f"`{c}` {t}" for c, t in types.items()), outputMode="Update", timeMode="None"
     )
 
 

@@ -4,7 +4,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.plans import atr_smooth, darvas_box, hma, hma_atr_smooth
+from barloom.functions.statistics import STATISTICS, Statistic, register
+from barloom.plans import FeaturePlan, atr_smooth, darvas_box, hma, hma_atr_smooth
 from barloom.streaming.live import live_features, live_tick_bars, replay
 from test_features import SCHEMA, walk
 
@@ -62,3 +63,73 @@ def test_stream(spark, tmp_path):
     run(live_tick_bars(spark.readStream.schema(ticks.schema).parquet(str(tmp_path / "t")), 7), "ticks_out", tmp_path)
     bars = spark.table("ticks_out").filter("symbol = 'A'").orderBy("bar_index").collect()
     assert len(bars) == 4 and bars[1]["open"] == m.close[7] and bars[1]["close"] == m.close[13]
+
+
+OPTIONS = [
+    hma_atr_smooth(9, 5, 1.0, 10, statistics_window=8, statistics_source="log_return", mean_window=6),
+    atr_smooth(5, 1.0, 10, statistics_window=40, statistics_source="simple_return"),
+    darvas_box(5, statistics_window=3, mean_window=4, retain=False),
+    hma(9, statistics_window=3, statistics_source="log_return", statistics=("mean", "skewness", "kurtosis"), retain=False),
+    darvas_box(4, statistics_window=5, statistics=("median", "kurtosis"), mean_window=30),
+]
+
+
+@pytest.mark.parametrize("plan", OPTIONS)
+def test_live_publishes_all_columns_of_the_plan(spark, plan):
+    m = messages(90, 7)
+    m["ts"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(m.bar_index, unit="min")
+    m["open"] = m.close - 0.1
+    # Equal closes leave skewness and kurtosis undefined; a close of 0 has no returns; a missing volume counts as 0.
+    m.loc[30:42, ["open", "high", "low", "close"]] = 50.0
+    m.loc[60, ["low", "close"]] = 0.0
+    m["volume"] = m.volume.astype(object).where(m.bar_index % 11 != 3, None)
+    noisy = pd.concat([m.assign(close=m.close + 1, high=m.high + 2, r=0), m.assign(r=1)]).sort_values(["bar_index", "r"])
+    live = replay(noisy, plan).drop_duplicates("bar_index", keep="last")
+    assert set(live.columns) == {*plan.columns, "status"}
+    rows = [("X", int(r.bar_index), r.ts.to_pydatetime(), r.open, r.high, r.low, r.close, r.volume) for r in m.itertuples()]
+    batch = plan.apply(spark.createDataFrame(rows, SCHEMA)).orderBy("bar_index").toPandas()
+    assert len(live) == len(batch) == 90
+    for c in plan.columns:
+        for i, x, y in zip(batch.bar_index, live[c], batch[c]):
+            if pd.isna(x) or pd.isna(y):
+                assert pd.isna(x) and pd.isna(y), (c, i, x, y)
+            elif c == "timestamp":
+                assert x == y, (c, i)
+            else:
+                # Powers of noise in the variance of returns.
+                assert math.isclose(float(x), float(y), rel_tol=1e-7, abs_tol=1e-7), (c, i, x, y)
+
+
+def test_plans_without_a_live_twin_are_refused():
+    class Own:
+        halo = 1
+
+    with pytest.raises(ValueError, match="level"):
+        replay(messages(3), FeaturePlan(Own()))
+    with pytest.raises(ValueError, match="strict"):
+        replay(messages(3), hma(4, strict=True))
+    register(Statistic("sum_of_all", 1, lambda x, w: F.sum(x).over(w)))
+    try:
+        with pytest.raises(ValueError, match="sum_of_all"):
+            replay(messages(3), hma(4))
+    finally:
+        del STATISTICS["sum_of_all"]
+
+
+def test_stream_publishes_all_columns_of_the_plan(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    plan = hma_atr_smooth(9, 5, 1.0, 10, statistics_window=8, statistics_source="log_return", key="pair")
+    m = messages(40)
+    src = str(tmp_path / "all")
+    a = m.assign(pair="A", seq=range(40), open=m.close, ts=pd.Timestamp("2024-01-01") + pd.to_timedelta(m.bar_index, unit="min"))
+    spark.createDataFrame(a).withColumn("bar_index", F.col("bar_index").cast("int")).coalesce(1).write.parquet(src)
+    got = live_features(spark.readStream.schema(spark.read.parquet(src).schema).parquet(src), plan)
+    batch = plan.apply(spark.read.parquet(src))
+    assert {k: v for k, v in got.dtypes if k != "status"} == dict(batch.dtypes)
+    run(got, "live_all", tmp_path)
+    want = batch.orderBy("bar_index").toPandas()
+    live = spark.table("live_all").orderBy("bar_index").toPandas()
+    assert len(live) == 40 and list(live.timestamp) == list(want.timestamp) and list(live.pair) == ["A"] * 40
+    for c in plan.columns:
+        if c != "timestamp":
+            assert all(pd.isna(x) and pd.isna(y) or math.isclose(x, y, rel_tol=1e-7, abs_tol=1e-7) for x, y in zip(live[c], want[c])), c
