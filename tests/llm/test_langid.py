@@ -48,6 +48,20 @@ def test_cleaning():
         assert undo_encoding(fine) == fine
 
 
+def test_only_adverts_are_taken_out(scorer):
+    said = ["The team is here with the crew of the boat.", "Ficou assim...com ele.", "He wrote www.boat.example on the map."]
+    words = [w for t in tokens_of([srt(said)]) for w in words_in(t)]
+    assert words == "the team is here with the crew of the boat ficou assim com ele he wrote on the map".split()
+    # Credits go with their cue, wrapped anywhere or in a wrong code page.
+    for advert in ("Support X crew and become\na member to remove all ads", "Support X crew and\nbecome a member to remove all ads", "Wesprzyj a.example i usuñ wszystkie reklamy", "Synced and corrected by team X", "Субтитры качаны a.example", "????????? ? ??????: team X"):
+        assert [w for t in tokens_of([srt(["Hello", advert, "there"])]) for w in words_in(t)] == ["hello", "there"], advert
+    assert [w for t in tokens_of([srt(["Hello ????????? ? ??????"])]) for w in words_in(t)] == ["hello"]
+    # Without time lines only the line goes.
+    plain = "\n".join([*EN[:2], "Subtitles downloaded", "from www.boat.example", *EN[2:]])
+    assert [w for t in tokens_of([plain, EN[0]]) for w in words_in(t)] == [w for s in (*EN[:2], "from", *EN[2:], EN[0]) for w in words_in(s.lower())]
+    assert labels(scorer, plain)[0][1] == "en"
+
+
 def test_one_language_and_single_cues(scorer):
     a, b = srt(EN * 3), srt([*EN, "[phone]", ES[0], *EN])
     rows = labels(scorer, a, b, "", srt(["[phone]", "♪ ♪", "1998"]), " ".join(EN))
