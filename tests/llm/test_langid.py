@@ -62,6 +62,11 @@ def test_only_adverts_are_taken_out(scorer):
     assert labels(scorer, plain)[0][1] == "en"
 
 
+def test_letters_of_long_words_count_to_the_end(scorer):
+    long = "nobody" * 7
+    assert len(long) > 40 and not np.array_equal(scorer.letters(long + "лодка"), scorer.letters(long + "waiting"))
+
+
 def test_one_language_and_single_cues(scorer):
     a, b = srt(EN * 3), srt([*EN, "[phone]", ES[0], *EN])
     rows = labels(scorer, a, b, "", srt(["[phone]", "♪ ♪", "1998"]), " ".join(EN))
