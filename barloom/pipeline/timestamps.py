@@ -98,8 +98,8 @@ def parse_times(df: DataFrame, text: str, zone: str, date_order: str, offsets: d
     own = free_names(df, ["tp_parts", "tp_num", "tp_zone", "tp_wall", "tp_utc", "tp_after"])
     c, k, z, w, u, a = own
     raw = F.split(F.regexp_replace(F.col(text), F.lit(pattern), F.lit(replacement)), "\u0001")
-    # A text of any known notation is short; longer ones cannot match and are not scanned.
-    df = settled(df, **{c: F.when(F.length(text) <= 80, raw)})
+    # Blanks and fractions may be of any length. No two repeats of the pattern share characters without one between, so a text is scanned in linear time.
+    df = settled(df, **{c: raw})
     df = settled(df, **{c: F.when(F.get(F.col(c), F.lit(0)) == "\u0002", F.col(c))})
     part = {p: F.get(F.col(c), F.lit(i + 1)) for i, p in enumerate(_PARTS)}
 

@@ -40,6 +40,19 @@ CASES = [
 ]
 
 
+def test_long_texts(spark):
+    pad = " " * 50_000
+    at = us(2024, 6, 1, 10, 20, 30, micro=123456)
+    cases = [
+        (pad + "2024-06-01T10:20:30.123456Z" + pad, at), ("2024-06-01T10:20:30.123456" + "7" * 50_000 + "Z", at), ("2024-06-01" + pad + "10:20:30.123456" + pad + "+00:00" + pad + "[UTC]", at),
+        ("1717237230.123456" + "9" * 200, at), (pad + "01-Jun-2024" + pad + "10:20:30,123456 GMT", at),
+        (pad, None), (pad + "2024-06-01" + pad + "10:20:30" + pad + "x", None), ("2024-06-01T10:20:30." + "7" * 50_000 + "x", None), ("9" * 50_000, None),
+    ]
+    df = spark.createDataFrame([(i, t, "UTC", "ymd", w) for i, (t, w) in enumerate(cases)], "i int, text string, zone string, o string, want long")
+    for r in parse_times(df, "text", "zone", "o", {}).collect():
+        assert r["early_us"] == r["late_us"] == r["want"], (r["i"], r["early_us"])
+
+
 def test_notations(spark):
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(CASES)], "i int, text string, zone string, o string, want long")
     out = parse_times(df, "text", "zone", "o", abbreviations([NY, BERLIN, KOLKATA])).collect()
