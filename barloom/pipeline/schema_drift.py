@@ -117,7 +117,8 @@ def drift(lines: DataFrame, registry: DataFrame) -> DataFrame:
 
     dataset_id, filename (the later version's), change (added, removed, renamed, retyped, mislabelled), old_name, new_name; names that do not apply are empty. Files
     that the registry lacks have no version and are left out. A removed and an added field are one renamed field if, on every bar of both
-    captures where both have a value (two bars at least), these are the same; one with several partners takes the one it agrees with on most bars, then the first by name.
+    captures where both have a value (two bars at least), these are the same; of several partners the pair that agrees on most bars comes first, then the
+    first by name, until no two fields that are left agree.
     Empty values agree with nothing; a path without any value has no type and is never retyped. A declared schema of unknown name, null or empty is no mislabelling.
     """
     heads = cut(headers(lines), "headers")
@@ -148,9 +149,12 @@ def drift(lines: DataFrame, registry: DataFrame) -> DataFrame:
     a = said.filter("later").select("pair", "bar", F.col("path").alias("new_name"), F.col("v").alias("nv")).distinct()
     b = said.filter("NOT later").select("pair", "bar", F.col("path").alias("old_name"), F.col("v").alias("ov")).distinct()
     agree = a.join(b, ["pair", "bar"]).groupBy("pair", "old_name", "new_name").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("nv") == F.col("ov"), 1)).alias("same")).filter("same = n AND n >= 2")
-    by_old = Window.partitionBy("pair", "old_name").orderBy(F.desc("n"), "new_name")
-    by_new = Window.partitionBy("pair", "new_name").orderBy(F.desc("n"), "old_name")
-    renamed = cut(agree.select("*", F.row_number().over(by_old).alias("r1"), F.row_number().over(by_new).alias("r2")).filter("r1 = 1 AND r2 = 1").select(F.col("pair").alias("filename"), "old_name", "new_name"), "renamed")
+    # Best pairs first, each name once: what repeated rounds of mutual best come to. A pair of files has a candidate for two of its own fields at most.
+    best = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "old_name", "new_name")))
+    free = lambda done, x: ~F.exists(done, lambda d: (d.old_name == x.old_name) | (d.new_name == x.new_name))
+    none = F.array().cast("array<struct<rank:bigint,old_name:string,new_name:string>>")
+    chosen = F.aggregate("best", none, lambda done, x: F.when(free(done, x), F.concat(done, F.array(x))).otherwise(done))
+    renamed = cut(agree.groupBy("pair").agg(best.alias("best")).select(F.col("pair").alias("filename"), F.inline(chosen)).drop("rank"), "renamed")
 
     taken = renamed.groupBy("filename").agg(F.collect_set("old_name").alias("olds"), F.collect_set("new_name").alias("news"))
     left = pairs.join(taken, "filename", "left")

@@ -41,6 +41,14 @@ def test_changes(spark):
     assert {tuple(r) for r in drift(extra, reg.withColumn("before", F.lit(1)).orderBy(F.desc("row_id"))).collect()} == WANT
 
 
+def test_equal_fields_renamed_at_once(spark):
+    lines = capture("b1", ["OpenTimeUtc", "Swap", "Bonus", "Fee", "Rate"], 0, 9, lambda i: [t(i), "0", "0", "0", price(i, 0)])
+    lines += capture("b2", ["OpenTimeUtc", "x", "y", "rate_2", "z"], 0, 9, lambda i: [t(i), "0", "0", price(i, 0), "0"])
+    reg = [(1, "B", "1", "b1", None), (2, "B", "2", "b2", None)]
+    got = {tuple(r)[2:] for r in drift(spark.createDataFrame(lines, LINES), spark.createDataFrame(reg, REG)).collect()}
+    assert got == {("renamed", "bonus", "x"), ("renamed", "fee", "y"), ("renamed", "swap", "z"), ("renamed", "rate", "rate_2")}
+
+
 def test_bar_table(spark):
     lines, reg = tables(spark)
     rows = bar_table(lines, reg)
