@@ -256,6 +256,18 @@ def _quality(spark: SparkSession, sf: str) -> DataFrame:
     return checks.quality(hma().apply(event_bars(spark, sf))).filter("rule = 'scale_positive'")
 
 
+@query("f_quality_composite")
+def _quality_composite(spark: SparkSession, sf: str) -> DataFrame:
+    """All rules of the composite plan."""
+    return checks.quality(hma_atr_smooth(multiplier=1.0).apply(event_bars(spark, sf)))
+
+
+@query("f_quality_box")
+def _quality_box(spark: SparkSession, sf: str) -> DataFrame:
+    """All rules of the box plan."""
+    return checks.quality(darvas_box().apply(event_bars(spark, sf)))
+
+
 @query("f_all_features")
 def _all(spark: SparkSession, sf: str) -> DataFrame:
     """Every column of the composite plan over bars of single users: many instruments."""

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.feature_queries import QUERIES
 from barloom.functions.lanes import Lane
 from barloom.operators import checks, stages
 from barloom.operators.levels import AtrSmooth, DarvasBox, Hma, trailing_step
@@ -202,3 +203,15 @@ def test_wide_windows_give_what_window_functions_give(spark, source, monkeypatch
     for x, y in zip(wide, narrow):
         for k in x.asDict():
             assert x[k] == y[k] or math.isclose(x[k], y[k], rel_tol=1e-8, abs_tol=1e-8), (x["bar_index"], k, x[k], y[k])
+
+
+def test_quality_queries_report_all_rules(spark, tmp_path):
+    # Bars of 5 events: those of type "b" are all 0, and so is their scale.
+    rows = [(t, i, float(v)) for t, vs in (("a", walk(200, 3)), ("b", [0.0] * 20)) for i, v in enumerate(vs)]
+    e = spark.createDataFrame(rows, "event_type string, event_id long, value double").withColumn("ts", F.timestamp_seconds("event_id"))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    base = {"prices_finite", "reference_finite", "regime_in_range", "distance_finite", "scale_positive", "normalized_not_negative", "statistics_finite"}
+    for name, own in (("f_quality_composite", {"geometry_finite", "alignment_in_range", "segment_consistent"}), ("f_quality_box", {"box_distance_finite"})):
+        got = {r["rule"]: (r["rows"], r["violations"]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert set(got) == base | own
+        assert all(n == (44, 4 if rule in ("scale_positive", "normalized_not_negative") else 0) for rule, n in got.items()), got
