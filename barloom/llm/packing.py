@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.common import cut
 
-_PACKED = "pack_name string, item long, piece int, size long, shard int, pack_no int"
+_PACKED = "pack_name string, item long, n long, rest_no long, whole_no long"
 
 
 def balance(sizes: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1 / 4096) -> np.ndarray:
@@ -52,9 +52,9 @@ def pack(items: DataFrame, sizes: DataFrame, item: str = "doc_id", size: str = "
     """The pack of each item for each capacity: pack_name, item, piece, start, size, shard, pack_no (a pack is pack_name, shard and pack_no together).
 
     An item above the capacity is split into pieces of just the capacity, packs of their own, and a rest that is packed like an item; others stay whole. Items are
-    spread evenly over shards by hash, one for each `shard_items` pieces (the bound of what one task holds), and every shard is packed by itself: what stays free grows by a pack or
-    two a shard. Items of size 0 or null come with piece 0 and null pack. Equal ids are items of their own each; ties of size go by id. Capacities that are null or not above 0 are left out; one
-    named twice counts with its least.
+    spread evenly over shards by hash, one for each `shard_items` items (the bound of what one task packs; whole pieces are written out behind it), and every shard is packed by itself: what
+    stays free grows by a pack or two a shard. Items of size 0 or null come with piece 0 and null pack. Equal ids are items of their own each; ties of size go by id. Capacities that are null
+    or not above 0 are left out; one named twice counts with its least.
     """
     caps = sizes.filter("pack_name IS NOT NULL AND capacity_tokens > 0").groupBy("pack_name").agg(F.min("capacity_tokens").cast("long").alias("capacity"))
     all_items = items.select(F.col(item).cast("long").alias("item"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("n"))
@@ -68,29 +68,26 @@ def pack(items: DataFrame, sizes: DataFrame, item: str = "doc_id", size: str = "
     both = both.withColumn("shard", F.pmod(F.xxhash64("item", "n", "pack_name"), F.lit(shards)).cast("int"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A row an item: the pack of its rest, -1 without one, and the first of the packs of its whole pieces."""
         capacity = int(pdf["capacity"].iloc[0])
         pdf = pdf.sort_values(["n", "item"], kind="stable", ascending=[False, True])
-        item, n = pdf["item"].to_numpy(), pdf["n"].to_numpy()
+        n = pdf["n"].to_numpy()
         full, rest = n // capacity, n % capacity
-        # Pieces of just the capacity, then the rests.
-        whole = np.repeat(np.arange(len(n)), full)
-        piece = np.arange(len(whole)) - np.repeat(np.cumsum(full) - full, full)
         small = np.flatnonzero(rest)
         small = small[np.argsort(-rest[small], kind="stable")]
         no = balance(rest[small], capacity)
-        nothing = np.flatnonzero(n == 0)
-        at = np.concatenate([whole, small, nothing])
+        rest_no = np.full(len(n), -1)
+        rest_no[small] = no
         begun = int(no.max()) + 1 if len(no) else 0
-        pack_no = np.concatenate([begun + np.arange(len(whole)), no, np.full(len(nothing), -1)])
-        return pd.DataFrame({
-            "pack_name": pdf["pack_name"].iloc[0], "item": item[at], "piece": np.concatenate([piece, full[small], np.zeros(len(nothing), int)]),
-            "size": np.concatenate([np.full(len(whole), capacity), rest[small], np.zeros(len(nothing), int)]), "shard": int(pdf["shard"].iloc[0]), "pack_no": pack_no,
-        })
+        return pd.DataFrame({"pack_name": pdf["pack_name"].iloc[0], "item": pdf["item"].to_numpy(), "n": n, "rest_no": rest_no, "whole_no": begun + np.cumsum(full) - full}).assign(shard=int(pdf["shard"].iloc[0]))
 
-    packed = both.groupBy("pack_name", "shard").applyInPandas(one, _PACKED).join(F.broadcast(caps), "pack_name")
-    return packed.select(
-        "pack_name", F.col("item").alias(item), "piece", (F.col("piece") * F.col("capacity")).alias("start"), F.col("size").alias(size),
-        F.when(F.col("pack_no") >= 0, F.col("shard")).alias("shard"), F.when(F.col("pack_no") >= 0, F.col("pack_no")).alias("pack_no"),
+    packed = both.groupBy("pack_name", "shard").applyInPandas(one, _PACKED + ", shard int").join(F.broadcast(caps), "pack_name")
+    full, rest = F.floor(F.col("n") / F.col("capacity")), F.col("n") % F.col("capacity")
+    pieces = packed.withColumn("full", full).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("full") - F.when(rest > 0, 0).otherwise(1), F.lit(0)))))
+    whole = F.col("piece") < F.col("full")
+    return pieces.select(
+        "pack_name", F.col("item").alias(item), F.col("piece").cast("int").alias("piece"), (F.col("piece") * F.col("capacity")).alias("start"), F.when(whole, F.col("capacity")).otherwise(rest).alias(size),
+        F.when(F.col("n") > 0, F.col("shard")).alias("shard"), F.when(F.col("n") > 0, F.when(whole, F.col("whole_no") + F.col("piece")).otherwise(F.col("rest_no"))).alias("pack_no"),
     )
 
 
