@@ -288,6 +288,15 @@ SQL["p5_found"] = """WITH r AS (SELECT t.symbol, CAST(i.grid_s AS BIGINT) AS g,
 s AS (SELECT DISTINCT symbol, g, slot_s FROM r), d AS (SELECT symbol, g, slot_s // 86400 AS day, min(slot_s) AS lo, max(slot_s) AS hi FROM s GROUP BY ALL),
 a AS (SELECT symbol, unnest(range(lo, hi + g, g)) AS slot_s FROM d)
 SELECT a.symbol, CAST(a.slot_s AS BIGINT) AS slot_s FROM a ANTI JOIN s ON a.symbol = s.symbol AND a.slot_s = s.slot_s"""
+# What of the grid SQL can say: the status of every period (support needs three observed periods that day, and a gap of 32 at most or a symbol of one grid seen in it), and observed readings.
+SQL["p5_periods"] = """WITH r AS (SELECT t.symbol, CAST(i.grid_s AS BIGINT) AS g, epoch_us(ts_recv_utc) AS us, bid, ask FROM ticks t JOIN instruments i ON t.symbol = i.symbol
+  WHERE ts_recv_utc IS NOT NULL AND bid IS NOT NULL AND ask IS NOT NULL),
+s AS (SELECT symbol, g, us // (1000000 * g) * g AS slot_s, max(struct_pack(us := us, bid := bid, ask := ask)) AS m FROM r GROUP BY ALL),
+o AS (SELECT *, lead(slot_s) OVER (PARTITION BY symbol, slot_s // 86400 ORDER BY slot_s) AS next_s, count(*) OVER (PARTITION BY symbol, slot_s // 86400) AS n FROM s),
+a AS (SELECT symbol, g, n, m, slot_s AS own, (coalesce(next_s, slot_s + g) - slot_s) // g AS gap, unnest(range(slot_s, coalesce(next_s, slot_s + g), g)) AS slot_s FROM o),
+c AS (SELECT DISTINCT g, slot_s FROM s)
+SELECT symbol, CAST(a.slot_s AS BIGINT) AS slot_s, CASE WHEN a.slot_s = own THEN 'observed' WHEN n >= 3 AND (gap <= 32 OR c.slot_s IS NOT NULL) THEN 'filled' ELSE 'unsupported' END AS status,
+ CASE WHEN a.slot_s = own THEN m.bid END AS bid, CASE WHEN a.slot_s = own THEN m.ask END AS ask FROM a LEFT JOIN c ON a.g = c.g AND a.slot_s = c.slot_s"""
 SQL["p4_found"] = """WITH t0 AS (SELECT symbol, ts_recv_utc AS ts, min(bid) AS bid, min(spread) AS spread FROM ticks WHERE bid IS NOT NULL AND ts_recv_utc IS NOT NULL GROUP BY ALL),
 t1 AS (SELECT *, lag(bid) OVER w AS p1, lag(bid, 2) OVER w AS p2, lag(bid, 3) OVER w AS p3, lead(bid) OVER w AS n1, lead(bid, 2) OVER w AS n2, lead(bid, 3) OVER w AS n3 FROM t0 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
 tu AS (SELECT symbol, 25 * median(round(abs(bid - p1), 9)) AS m, 15 * median(round(spread, 9)) AS s FROM t1 GROUP BY 1),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom import feature_queries
 from barloom.common import table
@@ -50,8 +51,14 @@ def p5_grid(spark: SparkSession, sf: str) -> DataFrame:
     return regrid.regular_grid(table(spark, sf, "ticks"), table(spark, sf, "instruments"))
 
 
+def p5_periods(spark: SparkSession, sf: str) -> DataFrame:
+    """Every period with its status, and the readings of the observed ones."""
+    seen = F.col("status") == "observed"
+    return p5_grid(spark, sf).select("symbol", "slot_s", "status", *[F.when(seen, F.col(c)).alias(c) for c in ("bid", "ask")])
+
+
 PIPELINE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_tombstones, p2_found, p3_found, p3_bars, p3_types, p4_found, p5_found, p5_grid)
+    f.__name__: f for f in (p1_found, p1_tombstones, p2_found, p3_found, p3_bars, p3_types, p4_found, p5_found, p5_grid, p5_periods)
 }
 
 

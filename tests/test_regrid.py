@@ -19,8 +19,8 @@ def test_periods(spark):
     s0 = int((base - datetime(1970, 1, 1)).total_seconds())
     assert set(got) == {("A", s0 + k) for k in (0, 15, 30, 45, 60, 86400)}
     assert got["A", s0] == (3.0, 4.0, "observed") and got["A", s0 + 60] == (7.0, 8.0, "observed")
-    # No source was seen in these periods, so nothing supports a value.
-    assert got["A", s0 + 30] == (None, None, "unsupported") and got["A", s0 + 45][2] == "unsupported"
+    # A's own path supports what lies between its readings.
+    assert got["A", s0 + 30][2] == got["A", s0 + 45][2] == "filled" and 5.0 < got["A", s0 + 30][0] < got["A", s0 + 45][0] < 7.0
     assert regular_grid(t.filter("false"), inst).collect() == [] and regular_grid(t, inst.filter("false")).collect() == []
 
 
@@ -44,6 +44,51 @@ def test_missing_cells_follow_the_other_sources(spark):
     assert all(abs(r["bid"] - (10 + wave[i])) < 1e-12 for i, r in enumerate(got) if r["status"] == "observed")
 
 
+def test_unsupported_periods_stay_empty(spark):
+    at = lambda k: datetime(2024, 1, 1) + timedelta(seconds=60 * k)
+    # E has two readings; F a long gap, in which C is seen once.
+    rows = [(0, "E", at(0), 1.0, 2.0), (0, "E", at(4), 1.0, 2.0), (0, "C", at(20), 3.0, 3.5), (0, "C", at(21), 3.0, 3.5)] + [(0, "F", at(k), 1.0 + k, 2.0 + k) for k in (0, 1, 2, 50)]
+    inst = spark.createDataFrame([(k, s, 2, 60) for k, s in enumerate("CEF")], INST)
+    got = {(r["symbol"], (r["slot_s"] - 1704067200) // 60): r for r in regular_grid(spark.createDataFrame(rows, TICKS), inst).collect()}
+    assert len(got) == 5 + 2 + 51
+    assert all(got["E", k]["status"] == "unsupported" and got["E", k]["bid"] is None for k in (1, 2, 3))
+    assert [k for k in range(51) if got["F", k]["status"] == "filled"] == [4, 20, 21]  # E and C were seen in these
+
+
+def test_walks_are_filled_better_than_by_carrying(spark):
+    """Sources that move on their own, with spikes: hidden periods are filled at least as well as by their neighbours."""
+    rng = np.random.default_rng(3)
+    n, names = 500, [f"S{j}" for j in range(6)]
+    value = np.cumsum(rng.normal(size=(6, n)), 1) * 0.01 + 10
+    hidden = rng.random((6, n)) < 0.15
+    hidden[:, [0, n - 1]] = False
+    said = value.copy()
+    spikes = (rng.random((6, n)) < 0.01) & ~hidden
+    said[spikes] += 5
+    rows = [(0, names[j], datetime(2024, 1, 1) + timedelta(seconds=60 * i), float(said[j, i]), float(said[j, i] + 0.002)) for j in range(6) for i in range(n) if not hidden[j, i]]
+    inst = spark.createDataFrame([(k, s, 2, 60) for k, s in enumerate(names)], INST)
+    got = {(r["symbol"], (r["slot_s"] - 1704067200) // 60): r for r in regular_grid(spark.createDataFrame(rows, TICKS), inst).filter("status = 'filled'").collect()}
+    assert len(got) == hidden.sum()
+    errors, carried = [], []
+    for j, i in zip(*np.nonzero(hidden)):
+        errors.append(abs(got[names[j], i]["bid"] - value[j, i]))
+        before = np.flatnonzero(~hidden[j, :i])[-1]
+        carried.append(abs(said[j, before] - value[j, i]))
+    assert np.median(errors) < np.median(carried) and np.quantile(errors, 0.99) < 0.1  # no spike reaches a filled value
+
+
+def test_shared_movement_fills_long_gaps():
+    """A source that moves with others is filled by them where its own path says nothing."""
+    rng = np.random.default_rng(5)
+    common = np.cumsum(rng.normal(size=400))
+    m = np.outer([1.0, 2.0, -1.0, 0.5, 1.5], common) + rng.normal(size=(5, 400)) * 0.05
+    seen = rng.random(m.shape) < 0.9
+    seen[0, 150:200] = False
+    got = complete(m, seen)
+    line = np.interp(np.arange(150, 200), [149, 200], m[0, [149, 200]])
+    assert np.abs(got[0, 150:200] - m[0, 150:200]).mean() < 0.3 * np.abs(line - m[0, 150:200]).mean()
+
+
 def test_completion_is_the_same_every_time():
     rng = np.random.default_rng(1)
     m = np.outer(rng.normal(size=6), rng.normal(size=50))
