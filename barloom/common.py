@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -16,19 +17,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). A folder of our own is made only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, a local session makes one of its own; others have no folder that all machines see, and fail."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = spark.conf.get("spark.barloom.ownSharedDir", None)
         if not conf:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             conf = "file://" + tempfile.mkdtemp(prefix="barloom-")
             spark.conf.set("spark.barloom.ownSharedDir", conf)
     return conf.rstrip("/")
 
 
+def _path(spark: SparkSession, name: str):
+    """A path in the JVM and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder. It goes when the driver ends, or with `release`."""
+    name = f"{shared_dir(spark)}/barloom/{spark.sparkContext.applicationId}"
+    path, fs = _path(spark, name)
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return name
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. DataFrames that read them cannot be read any more: write results first."""
+    path, fs = _path(spark, scratch_dir(spark))
+    fs.delete(path, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: short lineage that outlives a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/barloom/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -86,24 +111,52 @@ def _pair(combine: Callable[[Column], Column]) -> Callable[[Column, Column], Col
     return lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
 
 
-def publish(df: DataFrame, target: str) -> DataFrame:
-    """Write `df` beside `target`, then make it visible with one rename; readers see the old table or the new, whole.
+def publish(df: DataFrame, target: str, keep: int = 2) -> DataFrame:
+    """Write `df` as a new version of the table at `target` and point to it with one rename: `current` reads the old table or the new, whole.
 
-    Task attempts go through Spark's commit protocol, so that a lost executor leaves no half-written bucket.
+    Task attempts go through Spark's commit protocol, so that a lost executor leaves no half-written bucket. The last `keep` versions stay for who is still reading them. One writer at a time.
     """
     spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    staging = f"{target}/.staging-{version}"
-    df.write.parquet(staging)
     jvm = spark.sparkContext._jvm
-    src, dst = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(f"{target}/{version}")
-    fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.rename(src, dst):
-        fs.delete(src, True)
-        raise OSError(f"could not publish {target}")
+    version = f"v-{uuid.uuid4().hex}"
+    before = versions(spark, target)
+    df.write.parquet(f"{target}/{version}")
+    pointer, fs = _path(spark, f"{target}/_CURRENT")
+    fresh, _ = _path(spark, f"{target}/_CURRENT-{version}")
+    kept = [version, *before][: max(keep, 1)]
+    out = fs.create(fresh, True)
+    out.write(bytearray("\n".join(kept).encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, pointer, how)
+    for old in before:
+        if old not in kept:
+            fs.delete(_path(spark, f"{target}/{old}")[0], True)
     return spark.read.schema(df.schema).parquet(f"{target}/{version}")
 
 
+def versions(spark: SparkSession, target: str) -> list[str]:
+    """The versions of a published table that are there, the current one first; none if nothing was published."""
+    pointer, fs = _path(spark, f"{target}/_CURRENT")
+    if not fs.exists(pointer):
+        return []
+    stream = fs.open(pointer)
+    try:
+        return bytes(stream.readAllBytes()).decode().split()
+    finally:
+        stream.close()
+
+
+def current(spark: SparkSession, target: str) -> DataFrame:
+    """The published table at `target` as it is now; the DataFrame stays with that version. FileNotFoundError if nothing was published."""
+    there = versions(spark, target)
+    if not there:
+        raise FileNotFoundError(f"nothing is published at {target}")
+    return spark.read.parquet(f"{target}/{there[0]}")
+
+
 def chunk_neighbours(df: DataFrame, keys: Sequence[str], chunk: str, order: str, value: Column, after: int = 1, prefix: str = "nb", run_of: Column | None = None, run: str = "run_start") -> DataFrame:
     """`df` with the value of the row before (`<prefix>_prev`) and of the `after` rows after it (`<prefix>_next1`, ...).
 

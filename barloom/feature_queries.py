@@ -276,13 +276,17 @@ def _all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # The repairs that SQL can express.
-SQL["p1_found"] = """WITH q AS (SELECT session_id, symbol_id, entry_id, CAST(msg_seq AS BIGINT) AS seq, lower(trim("update")) AS u,
+_BOOK = """q AS (SELECT session_id, symbol_id, entry_id, CAST(msg_seq AS BIGINT) AS seq, price, size, CASE lower(trim("update")) WHEN '0' THEN 'new' WHEN '1' THEN 'change' WHEN '2' THEN 'delete' ELSE lower(trim("update")) END AS u,
   CASE WHEN lower(trim(side)) IN ('bid', '0') THEN 'bid' WHEN lower(trim(side)) IN ('ask', 'offer', '1') THEN 'ask' END AS side FROM eurusd_quotes WHERE entry_id IS NOT NULL AND msg_seq IS NOT NULL),
 f AS (SELECT session_id, symbol_id, max(seq) AS floor FROM q WHERE u = 'snapshot' GROUP BY ALL),
-e AS (SELECT session_id, symbol_id, side, entry_id, max(CASE WHEN u IN ('snapshot', 'new', '0') THEN seq END) AS put, coalesce(max(CASE WHEN u IN ('change', '1') THEN seq END), -1) AS changed,
-  coalesce(max(CASE WHEN u IN ('delete', '2') THEN seq END), -1) AS gone FROM q GROUP BY ALL)
-SELECT e.session_id, e.symbol_id, e.side, e.entry_id, greatest(put, changed) AS msg_seq FROM e LEFT JOIN f ON e.session_id = f.session_id AND e.symbol_id = f.symbol_id
-WHERE put > gone AND put >= coalesce(f.floor, -1)"""
+e AS (SELECT session_id, symbol_id, side, entry_id, coalesce(max(CASE WHEN u IN ('snapshot', 'new') THEN seq END), -1) AS put, coalesce(max(CASE WHEN u = 'change' THEN seq END), -1) AS changed,
+  coalesce(max(CASE WHEN u = 'delete' THEN seq END), -1) AS gone FROM q GROUP BY ALL),
+b AS (SELECT e.*, put > gone AND put >= coalesce(f.floor, -1) AS live, greatest(put, changed, gone) AS msg_seq FROM e LEFT JOIN f ON e.session_id = f.session_id AND e.symbol_id = f.symbol_id)"""
+SQL["p1_found"] = f"WITH {_BOOK} SELECT session_id, symbol_id, side, entry_id, msg_seq FROM b WHERE live"
+SQL["p1_tombstones"] = f"WITH {_BOOK} SELECT session_id, symbol_id, side, entry_id, msg_seq FROM b WHERE NOT live"
+SQL["p1_state"] = f"""WITH {_BOOK} SELECT b.session_id, b.symbol_id, b.side, b.entry_id, any_value(b.msg_seq) AS msg_seq,
+ max(CASE WHEN q.price IS NOT NULL THEN struct_pack(s := q.seq, v := q.price) END).v AS price, max(CASE WHEN q.size IS NOT NULL THEN struct_pack(s := q.seq, v := q.size) END).v AS size
+ FROM b JOIN q ON b.session_id = q.session_id AND b.symbol_id = q.symbol_id AND b.side = q.side AND b.entry_id = q.entry_id AND q.seq >= b.put AND q.u <> 'delete' WHERE live GROUP BY ALL"""
 SQL["p5_found"] = """WITH r AS (SELECT t.symbol, CAST(i.grid_s AS BIGINT) AS g, epoch_us(ts_recv_utc) // (1000000 * CAST(i.grid_s AS BIGINT)) * i.grid_s AS slot_s FROM ticks t JOIN instruments i ON t.symbol = i.symbol
   WHERE ts_recv_utc IS NOT NULL AND bid IS NOT NULL AND ask IS NOT NULL),
 s AS (SELECT DISTINCT symbol, g, slot_s FROM r), d AS (SELECT symbol, g, slot_s // 86400 AS day, min(slot_s) AS lo, max(slot_s) AS hi FROM s GROUP BY ALL),

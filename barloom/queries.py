@@ -21,6 +21,11 @@ def p1_tombstones(spark: SparkSession, sf: str) -> DataFrame:
     return change_feed.published_book(table(spark, sf, "eurusd_quotes")).filter("NOT live").select("session_id", "symbol_id", "side", "entry_id", "msg_seq")
 
 
+def p1_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The book at the end of every session with price and size."""
+    return change_feed.book_at_end(table(spark, sf, "eurusd_quotes"), payload=["price", "size"])
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     t = timestamps.table_times(table(spark, sf, "registry"), table(spark, sf, "bars"), table(spark, sf, "eurusd_quotes"), table(spark, sf, "recorders"))
     return t.filter("NOT plain AND utc_us IS NOT NULL").select("source_table", "row_id", "utc_us")
@@ -58,7 +63,7 @@ def p5_periods(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PIPELINE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_tombstones, p2_found, p3_found, p3_bars, p3_types, p4_found, p5_found, p5_grid, p5_periods)
+    f.__name__: f for f in (p1_found, p1_state, p1_tombstones, p2_found, p3_found, p3_bars, p3_types, p4_found, p5_found, p5_grid, p5_periods)
 }
 
 
