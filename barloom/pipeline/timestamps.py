@@ -29,6 +29,7 @@ _NOTATIONS = {
 _PARTS = "ymoijdhnsfpzrex"
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 PLAIN_Z7 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{7}Z$"
+PLAIN_UTC = r"^[1-9]\d{3}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?(?:Z|\+00:00)$"
 PLAIN_MS = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}\+00:00$"
 
 US = 1_000_000
@@ -95,9 +96,12 @@ def parse_times(df: DataFrame, text: str, zone: str, date_order: str, offsets: d
     slashes that do not begin with the year. `offsets` comes from `abbreviations`.
     """
     pattern, replacement = _compiled()
-    own = free_names(df, ["tp_parts", "tp_num", "tp_zone", "tp_wall", "tp_utc", "tp_after"])
-    c, k, z, w, u, a = own
-    raw = F.split(F.regexp_replace(F.col(text), F.lit(pattern), F.lit(replacement)), "\u0001")
+    own = free_names(df, ["tp_parts", "tp_num", "tp_zone", "tp_wall", "tp_utc", "tp_after", "tp_plain", "tp_rest"])
+    c, k, z, w, u, a, q, t = own
+    # Most texts are plain UTC times. Their components stand at fixed places: they are read there, and take no part in the alternation.
+    plain = F.col(text).rlike(PLAIN_UTC)
+    df = settled(df, **{q: F.when(plain, F.unix_micros(F.concat(F.substring(F.col(text), 1, 19), F.substring(F.regexp_extract(F.col(text), r"\.\d+", 0), 1, 7), F.lit("Z")).try_cast("timestamp"))), t: F.when(~plain, F.col(text))})
+    raw = F.split(F.regexp_replace(F.col(t), F.lit(pattern), F.lit(replacement)), "\u0001")
     # Blanks and fractions may be of any length. No two repeats of the pattern share characters without one between, so a text is scanned in linear time.
     df = settled(df, **{c: raw})
     df = settled(df, **{c: F.when(F.get(F.col(c), F.lit(0)) == "\u0002", F.col(c))})
@@ -134,10 +138,12 @@ def parse_times(df: DataFrame, text: str, zone: str, date_order: str, offsets: d
     minutes = F.substring(zt, 2, 2).try_cast("int") * 60 + F.substring(zt, -2, 2).try_cast("int")
     named = F.element_at(F.create_map(*[F.lit(x) for (zn, ab), o in offsets.items() for x in (f"{zn}|{ab}", o)]), F.concat_ws("|", F.col(zone), zt)) if offsets else F.lit(None).cast("int")
     offset = F.when(zt.startswith("+"), minutes * 60).when(zt.startswith("-"), minutes * -60).otherwise(F.coalesce(named, F.when(zt.isin("Z", "UTC", "GMT"), 0)))
-    fixed = F.coalesce(F.col(f"{k}.e"), F.when(zt.isNotNull(), F.col(w) - offset.cast("long") * US))
-    free = F.when(zt.isNull() & F.col(f"{k}.e").isNull(), F.col(w))
+    fixed = F.coalesce(F.col(q), F.col(f"{k}.e"), F.when(zt.isNotNull(), F.col(w) - offset.cast("long") * US))
+    free = F.when(zt.isNull() & F.col(f"{k}.e").isNull(), F.col(w))  # null for plain times as well, which have no components
     df = settled(df.drop(early, late), **{early: fixed, u: free, z: F.coalesce(F.col(f"{k}.r"), F.col(zone))})
-    df = settled(df, **{z: F.when(F.col(z).isin(known_zones(df)), F.col(z))})
+    # One text that all names stand in: a list of some hundred literals would slow down the planning of every later step.
+    known = F.instr(F.lit("|" + "|".join(known_zones(df)) + "|"), F.concat(F.lit("|"), F.col(z), F.lit("|"))) > 0
+    df = settled(df, **{z: F.when(F.col(u).isNotNull() & known, F.col(z))})
     df = settled(df.drop(w), **{w: F.col(u), u: _utc(F.col(u), F.col(z))})
     later = F.col(w) + F.col(u) + DAY_US - _wall(F.col(u) + DAY_US, F.col(z))
     df = settled(df, **{a: later, u: F.when(_wall(F.col(u), F.col(z)) == F.col(w), F.col(u))})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import feature_queries
-from barloom.common import table
+from barloom.common import cut, table
 from barloom.pipeline import change_feed, regrid, schema_drift, spikes, timestamps
 
 
@@ -32,16 +32,17 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return schema_drift.drift(table(spark, sf, "capture_lines"), table(spark, sf, "registry"))
+    return schema_drift.drift(table(spark, sf, "capture_lines"), table(spark, sf, "registry"), table(spark, sf, "recorders"))
 
 
 def p3_bars(spark: SparkSession, sf: str) -> DataFrame:
-    return schema_drift.bar_table(table(spark, sf, "capture_lines"), table(spark, sf, "registry"))
+    return schema_drift.bar_table(table(spark, sf, "capture_lines"), table(spark, sf, "registry"), table(spark, sf, "recorders"))
 
 
 def p3_types(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "capture_lines")
-    return schema_drift.type_statistics(schema_drift.cells(lines, schema_drift.headers(lines)))
+    heads = cut(schema_drift.headers(lines), "headers")
+    return schema_drift.type_statistics(schema_drift.cells(lines, heads), heads)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -62,8 +62,24 @@ def test_odd_lines(spark):
     rows = [("f", 1, "a,a,,b"), ("f", 2, "1,2.5,x,true,9"), ("f", 3, "1"), ("f", 4, ""), ("f", 5, None), (None, 1, "a,b"), ("f", None, "1,2"), ("g", 1, "# only notes"), ("h", 1, "x" * 200_000)]
     lines = spark.createDataFrame(rows, LINES)
     assert {r["filename"]: r["fields"] for r in headers(lines).filter("filename <> 'h'").collect()} == {"f": ["a", "a#2", "#3", "b"]}
-    s = {r["path"]: r["type"] for r in type_statistics(cells(lines, headers(lines))).collect()}
+    heads = headers(lines)
+    s = {r["path"]: r["type"] for r in type_statistics(cells(lines, heads), heads).collect()}
     assert s == {"a": "integer", "a#2": "decimal", "#3": "text", "b": "boolean", "#5": "integer"}
     reg = spark.createDataFrame([(1, "D", None, "f", None), (2, None, "v1", "f", "recorder_v1"), (3, "D", "no number", "h", "fixture_v1")], REG)
     assert {r["change"] for r in drift(lines, reg).collect()} <= {"added", "removed", "mislabelled"}
     assert drift(lines.filter("false"), reg).collect() == [] and bar_table(lines.filter("false"), reg).collect() == []
+
+
+def test_failed_casts_and_zones(spark):
+    """Values that cannot be cast are named, whatever column they are in; times without zone are wall time of the file's recorder."""
+    lines = [("z1", 1, "OpenTimeUtc,Open,High,Low,Close,TickVolume"), ("z1", 2, "03/07/2024 12:00:00,1.5,n/a,$1.25,1.3 px,12"), ("z1", 3, "soon,1.5,1.6,1.2,1.3,twelve"), ("z1", 4, "03/07/2024 12:01:00,,1.6,1.2,0x30"), ("z1", 4, "03/07/2024 12:01:00,,1.6,1.2,0x30")]
+    lines += [("z2", 1, "OpenTimeUtc,Open,High,Low,Close,TickVolume"), ("z2", 2, "2024-07-03T10:00:00.1234567Z,1,2,1,2,3"), ("z2", 3, "2024-02-30T10:00:00.0000000Z,1,2,1,2,3"), ("n", 1, "a,a,a#2"), ("n", 2, "1,2,3,4")]
+    reg = spark.createDataFrame([("Z", "1", "z1", None, 4), ("Y", "1", "z2", None, 99)], "dataset_id string, dataset_version string, filename string, source_schema string, recorder_id int")
+    recorders = spark.createDataFrame([(4, "Europe/Berlin", "dmy"), (4, "Europe/Paris", "ymd")], "recorder_id int, zone string, date_order string")
+    got = {(r["filename"], r["line_no"]): r for r in bar_table(spark.createDataFrame(lines, LINES), reg, recorders).collect()}
+    assert len(got) == 6
+    a, b, c = got["z1", 2], got["z1", 3], got["z1", 4]
+    assert (a["time_us"], a["open"], a["low"], a["close"], a["failed"]) == (1720000800000000, 1.5, 1.25, 1.3, ["high"])  # Berlin, two hours ahead
+    assert (b["time_us"], b["failed"]) == (None, ["time", "volume"]) and c["failed"] == ["close"] and c["open"] is None
+    assert got["z2", 2]["time_us"] == 1720000800123456 and got["z2", 3]["failed"] == ["time"]
+    assert got["n", 2]["dataset_id"] is None and len(got["n", 2]["others"]) >= 3
