@@ -111,6 +111,45 @@ def _pair(combine: Callable[[Column], Column]) -> Callable[[Column, Column], Col
     return lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
 
 
+def default_chunk(df: DataFrame, order: str) -> Column | None:
+    """A column that splits long keys along `order`, from its type: days of a time, spans of a whole number; null comes first, as it sorts. None for other types."""
+    kind = dict(df.dtypes).get(order)
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        c = F.unix_date(F.to_date(F.col(order))).cast("long")
+    elif kind in ("tinyint", "smallint", "int", "bigint"):
+        c = F.floor(F.col(order).cast("long") / 65_536).cast("long")
+    else:
+        return None
+    return F.coalesce(c, F.lit(-(2**62)))
+
+
+def with_heads(df: DataFrame, heads: DataFrame, on: Sequence[str]) -> DataFrame:
+    """`df` joined to `heads`, one row for each of the values of `on`; null keys meet each other."""
+    own = free_names(df, [f"{c}_of_head" for c in on])
+    heads = heads.withColumnsRenamed(dict(zip(on, own)))
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(on, own)]
+    return df.join(heads, same).drop(*own)
+
+
+def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], chunk: Column | None = None) -> DataFrame:
+    """`df`, each of `columns` as of the last row of its key, by `order` and up to this row, where it was not null.
+
+    With `chunk`, which must not fall as `order` rises, rows are sorted per chunk only; what comes from chunks before is in a table with one row a chunk.
+    """
+    if chunk is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    c, *heads = free_names(df, ["carry_chunk", *[f"{x}_head" for x in columns]])
+    df = df.withColumn(c, chunk)
+    at = F.struct(*order)
+    ends = df.groupBy(*keys, c).agg(*[F.max_by(x, F.when(F.col(x).isNotNull(), at)).alias(h) for x, h in zip(columns, heads)])
+    before = Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, c, *[F.last(h, ignorenulls=True).over(before).alias(h) for h in heads])
+    w = Window.partitionBy(*keys, c).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = with_heads(df.withColumns({x: F.last(x, ignorenulls=True).over(w) for x in columns}), ends, [*keys, c])
+    return df.withColumns({x: F.coalesce(x, h) for x, h in zip(columns, heads)}).drop(c, *heads)
+
+
 def publish(df: DataFrame, target: str, keep: int = 2) -> DataFrame:
     """Write `df` as a new version of the table at `target` and point to it with one rename: `current` reads the old table or the new, whole.
 

@@ -206,8 +206,7 @@ f AS (SELECT session_id, symbol_id, msg_seq, last_value(bid IGNORE NULLS) OVER w
  WINDOW w AS (PARTITION BY session_id, symbol_id ORDER BY msg_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT session_id, symbol_id, msg_seq, bid, ask, round(ask - bid, 8) AS spread FROM f WHERE bid IS NOT NULL AND ask IS NOT NULL""")
 def _two_sided(spark: SparkSession, sf: str) -> DataFrame:
-    m = bar_ops.messages(table(spark, sf, "eurusd_quotes")).withColumn("key", F.struct("session_id", "symbol_id"))
-    t = bar_ops.two_sided(m, "key", ["msg_seq"])
+    t = bar_ops.two_sided(bar_ops.messages(table(spark, sf, "eurusd_quotes")), ["session_id", "symbol_id"], ["msg_seq"])
     return t.select("session_id", "symbol_id", "msg_seq", "bid", "ask", F.round("spread", 8).alias("spread"))
 
 

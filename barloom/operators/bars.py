@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.common import free_names
+from barloom.common import carry_last, default_chunk, free_names, with_heads
 
 
 def numbered(df: DataFrame, key: str, order: list[str], out: str = "bar_index", chunk: Column | None = None) -> DataFrame:
@@ -18,14 +18,18 @@ def numbered(df: DataFrame, key: str, order: list[str], out: str = "bar_index",
     df = df.withColumn(c, chunk)
     before = Window.partitionBy(key).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
     heads = df.groupBy(key, c).agg(F.count(F.lit(1)).alias(n)).select(key, c, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n))
-    df = df.withColumn(out, F.row_number().over(Window.partitionBy(key, c).orderBy(*order)) - 1).join(heads, [key, c])
+    df = with_heads(df.withColumn(out, F.row_number().over(Window.partitionBy(key, c).orderBy(*order)) - 1), heads, [key, c])
     return df.withColumn(out, (F.col(out) + F.col(n)).cast("int")).drop(c, n)
 
 
-def two_sided(quotes: DataFrame, key: str, order: list[str], bid: str = "bid", ask: str = "ask") -> DataFrame:
-    """Ticks from one-sided quote messages: the last bid and ask are carried forward, rows before both are known are dropped. Adds `spread`."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = quotes.withColumns({bid: F.last(bid, ignorenulls=True).over(w), ask: F.last(ask, ignorenulls=True).over(w)})
+def two_sided(quotes: DataFrame, key: str | list[str], order: list[str], bid: str = "bid", ask: str = "ask", chunk: Column | None = None) -> DataFrame:
+    """Ticks from one-sided quote messages: the last bid and ask are carried forward, rows before both are known are dropped. Adds `spread`.
+
+    `key` is one column or several. Long keys are split along the first column of `order` (`chunk`, by default as default_chunk has it).
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    chunk = default_chunk(quotes, order[0]) if chunk is None else chunk
+    df = carry_last(quotes, keys, order, [bid, ask], chunk)
     return df.filter(F.col(bid).isNotNull() & F.col(ask).isNotNull()).withColumn("spread", F.col(ask) - F.col(bid))
 
 
@@ -41,15 +45,17 @@ def messages(entries: DataFrame) -> DataFrame:
     )
 
 
-def tick_bars(ticks: DataFrame, size: int = 25, key: str = "symbol", order: tuple[str, ...] = ("ts",), price: str = "bid", spread: str | None = "spread") -> DataFrame:
+def tick_bars(ticks: DataFrame, size: int = 25, key: str = "symbol", order: tuple[str, ...] = ("ts",), price: str = "bid", spread: str | None = "spread", chunk: Column | None = None) -> DataFrame:
     """A bar of every `size` ticks: open, high, low, close of `price`, tick volume, last spread, time of the first tick. The last bar may be partial.
 
-    `order` must be total within `key` for a defined result; ticks without price are no ticks.
+    `order` must be total within `key` for a defined result; ticks without price are no ticks. Ticks are numbered chunk by chunk (days of a time that comes first in `order`, or `chunk`), so that a symbol
+    with much of all ticks is not sorted in one task.
     """
     if size < 1:
         raise ValueError(f"size must be at least 1, not {size!r}")
     last = F.struct(*order)
-    t = numbered(ticks.filter(F.col(price).isNotNull()), key, list(order), "tick_no").withColumn("bar_index", F.floor(F.col("tick_no") / size).cast("int"))
+    chunk = default_chunk(ticks, order[0]) if chunk is None else chunk
+    t = numbered(ticks.filter(F.col(price).isNotNull()), key, list(order), "tick_no", chunk).withColumn("bar_index", F.floor(F.col("tick_no") / size).cast("int"))
     price_ = F.col(price).cast("double")
     columns = [
         F.min(order[0]).alias("ts"), F.min_by(price_, last).alias("open"), F.max(price_).alias("high"), F.min(price_).alias("low"), F.max_by(price_, last).alias("close"),
@@ -71,13 +77,23 @@ def time_bars(rows: DataFrame, key: str, at: str, price: str, volume: str | None
     return numbered(b, key, ["ts"])
 
 
-def scan_summary(bars: DataFrame, key: str = "symbol", order: str = "line_no", at: str = "ts") -> DataFrame:
-    """Per source: rows, first and last time in file order, equal successive times, times that fall back (a valid capture has none)."""
-    before = F.lag(at).over(Window.partitionBy(key).orderBy(order))
-    s = bars.withColumn("_before", before)
-    return s.groupBy(key).agg(
-        F.count(F.lit(1)).alias("rows"), F.min_by(at, order).alias("first_ts"), F.max_by(at, order).alias("last_ts"),
-        F.count(F.when(F.col(at) == F.col("_before"), 1)).alias("duplicates"), F.count(F.when(F.col(at) < F.col("_before"), 1)).alias("regressions"),
+def scan_summary(bars: DataFrame, key: str = "symbol", order: str = "line_no", at: str = "ts", chunk: Column | None = None) -> DataFrame:
+    """Per source: rows, first and last time in file order, equal successive times, times that fall back (a valid capture has none).
+
+    Rows are compared chunk by chunk along `order` (`chunk`, by default as default_chunk has it); the edges of chunks, a row each, are compared afterwards.
+    """
+    c, before, first, last = "_chunk", "_before", "_first", "_last"
+    chunk = default_chunk(bars, order) if chunk is None else chunk
+    rows = bars.select(key, F.col(order).alias("_order"), F.col(at).alias("_at"), (F.lit(0).cast("long") if chunk is None else chunk).alias(c))
+    rows = rows.withColumn(before, F.lag("_at").over(Window.partitionBy(key, c).orderBy("_order")))
+    parts = rows.groupBy(key, c).agg(
+        F.count(F.lit(1)).alias("rows"), F.min_by("_at", "_order").alias(first), F.max_by("_at", "_order").alias(last),
+        F.count(F.when(F.col("_at") == F.col(before), 1)).alias("same"), F.count(F.when(F.col("_at") < F.col(before), 1)).alias("back"),
+    )
+    parts = parts.withColumn(before, F.lag(last).over(Window.partitionBy(key).orderBy(c)))
+    return parts.groupBy(key).agg(
+        F.sum("rows").alias("rows"), F.min_by(first, c).alias("first_ts"), F.max_by(last, c).alias("last_ts"),
+        (F.sum("same") + F.count(F.when(F.col(first) == F.col(before), 1))).alias("duplicates"), (F.sum("back") + F.count(F.when(F.col(first) < F.col(before), 1))).alias("regressions"),
     )
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.common import free_names
+
 
 def _finite(c: str) -> Column:
     x = F.col(c)
@@ -40,22 +42,29 @@ def rules(columns: list[str]) -> dict[str, Column]:
             absent | (F.col("segment_age") == at - F.col("segment_start_index")),
             absent | (F.col("segment_regime") == F.col("reference_regime")),
             (F.col("segment_transition") == 0) | (F.col("segment_transition") == F.col("reference_regime")),
-            # Once established, a regime does not fall back to none.
             F.col("reference_regime").isNotNull(),
         ]
     all_true = lambda cs: F.coalesce(reduce(lambda a, b: a & b, cs), F.lit(False))
     return {n: all_true(cs) for n, cs in found.items() if cs}
 
 
-def quality(df: DataFrame) -> DataFrame:
-    """rule, rows, violations: what of `df` breaks which rule."""
+def quality(df: DataFrame, key: str = "symbol") -> DataFrame:
+    """rule, rows, violations: what of `df` breaks which rule.
+
+    Besides the rules of single rows, segment_contract: once established, the regime of an instrument (`key`) does not fall back to none.
+    """
     by = rules(df.columns)
+    if {"segment_id", "reference_regime", key} <= set(df.columns):
+        (first,) = free_names(df, ["established_at"])
+        begun = df.filter(F.col("reference_regime") != 0).groupBy(key).agg(F.min("bar_index").alias(first))
+        df = df.join(begun, key, "left")
+        by["segment_contract"] = ~F.coalesce((F.col("reference_regime") == 0) & (F.col("bar_index") > F.col(first)), F.lit(False))
     counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.when(~ok, 1)).alias(n) for n, ok in by.items()])
     return counts.select("rows", F.explode(F.map_from_arrays(F.array(*map(F.lit, by)), F.array(*by))).alias("rule", "violations")).select("rule", "rows", "violations")
 
 
 def strict(df: DataFrame) -> DataFrame:
-    """`df`; reading a row that breaks a rule fails with the rule's name."""
+    """`df`; reading a row that breaks a rule fails with the rule's name. (The contract of segments is kept by `segments` itself, which sees the bars before.)"""
     ok = F.lit(True)
     for n, rule in rules(df.columns).items():
         ok = F.when(rule, ok).otherwise(F.raise_error(F.lit(f"rule broken: {n}")).cast("boolean"))

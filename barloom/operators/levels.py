@@ -7,18 +7,17 @@ reference_price and reference_regime (-1, 0, 1).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.common import shuffle_parts
 from barloom.functions.lanes import Lane, highest, lowest, shifted, wma
+from barloom.operators.passes import Step, lane_pass
 
 
 class Level(Protocol):
@@ -51,51 +50,39 @@ def trailing_step(stop: float, before: float, close: float, distance: float) ->
     return close - distance if close > stop else close + distance
 
 
-def trailing_stops(true_ranges: np.ndarray, closes: np.ndarray, period: int, multiplier: float, state: tuple[float, float, float] | None) -> tuple[np.ndarray, tuple[float, float, float] | None]:
-    """Stops of successive bars of one instrument and the state after them; `state` is the smoothed range, stop and close before them, None at the start.
+def trailing_stops(true_ranges: np.ndarray, closes: np.ndarray, period: int, multiplier: float, state: tuple | None) -> tuple[np.ndarray, np.ndarray, tuple | None]:
+    """Stops and sides of successive bars of one instrument and the state after them; `state` is the smoothed range, stop, close and side before them, None at the start.
 
-    A bar without prices (NaN) has no stop and leaves the state as it is.
+    The side is that on which the close last crossed the stop of the bar before, 0 until it does. A bar without prices (NaN) has no stop and leaves the state as it is.
     """
-    out = np.empty(len(closes))
+    out, sides = np.empty(len(closes)), np.empty(len(closes), np.int32)
     a = 2.0 / (period + 1)
     for i, (tr, c) in enumerate(zip(true_ranges.tolist(), closes.tolist())):
         if tr != tr or c != c:
-            out[i] = math.nan
+            out[i], sides[i] = math.nan, state[3] if state else 0
             continue
         if state is None:
-            mean, stop, before = tr, c, c
+            mean, stop, before, side = tr, c, c, 0
         else:
-            mean, stop, before = a * tr + (1 - a) * state[0], state[1], state[2]
+            mean, stop, before, side = a * tr + (1 - a) * state[0], state[1], state[2], state[3]
+            if before < stop < c:
+                side = 1
+            elif before > stop > c:
+                side = -1
         stop = trailing_step(stop, before, c, multiplier * mean)
-        state = (mean, stop, c)
-        out[i] = stop
-    return out, state
+        state = (mean, stop, c, side)
+        out[i], sides[i] = stop, side
+    return out, sides, state
 
 
-def fold_stops(df: DataFrame, lane: Lane, period: int, multiplier: float) -> DataFrame:
-    """`df` with `stop`. The recurrence has resets that depend on data, so it runs over sorted bars in Python; state is carried from
-    batch to batch, and no instrument is ever gathered.
-    """
-    schema = T.StructType([*df.schema.fields, T.StructField("stop", T.DoubleType())])
-    key, order = lane.key, lane.order
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = None, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys, tr, close = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (key, "true_range", "close"))
-            cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-            out = np.empty(len(keys))
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if keys[lo] != at:
-                    at, state = keys[lo], None
-                out[lo:hi], state = trailing_stops(tr[lo:hi], close[lo:hi], period, multiplier, state)
-            stop = pa.array(out, pa.float64(), mask=np.isnan(out))
-            yield pa.RecordBatch.from_arrays([*b.columns, stop], names=[*b.schema.names, "stop"])
-
-    # One exchange; the bars of an instrument meet in one task, as the recurrence wants.
-    return df.repartition(shuffle_parts(df.sparkSession), key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+def stop_step(period: int, multiplier: float) -> Step:
+    """`stop` and `side`. The recurrence has resets that depend on data: no window expresses it."""
+
+    def run(inputs: list[np.ndarray], state: tuple | None) -> tuple[list[np.ndarray], tuple | None]:
+        stops, sides, state = trailing_stops(*inputs, period, multiplier, state)
+        return [stops, sides], state
+
+    return Step(["true_range", "close"], [("stop", T.DoubleType()), ("side", T.IntegerType())], run)
 
 
 @dataclass(frozen=True)
@@ -121,14 +108,11 @@ class AtrSmooth:
         volume = F.sum(v).over(w)
         return df.withColumns({"true_range": true_range(lane), "vwma": F.when(volume > 0, F.sum(F.col("close") * v).over(w) / volume).otherwise(F.col("close"))})
 
-    def carried(self, df: DataFrame, lane: Lane) -> DataFrame:
-        df = fold_stops(df, lane, self.period, self.multiplier)
-        df = lane.back(df, _stop1=F.col("stop"), _close1=F.col("close"))
-        up = (F.col("_close1") < F.col("_stop1")) & (F.col("close") > F.col("_stop1"))
-        down = (F.col("_close1") > F.col("_stop1")) & (F.col("close") < F.col("_stop1"))
-        df = lane.hold(df, _side=F.when(up, 1).when(down, -1))
+    def carried(self, df: DataFrame, lane: Lane, also: Sequence[Step] = ()) -> DataFrame:
+        # One exchange; the bars of an instrument meet in one task, as the recurrence wants. Other steps over whole instruments share it.
+        df = lane_pass(df, lane, [stop_step(self.period, self.multiplier), *also], parts=False)
         price = (F.col("vwma") + F.col("stop")) * 0.5
-        return df.withColumns({"reference_price": price, "reference_regime": F.coalesce("_side", F.lit(0))}).drop("_stop1", "_close1", "_side", "true_range")
+        return df.withColumns({"reference_price": price, "reference_regime": F.col("side")}).drop("side", "true_range")
 
 
 @dataclass(frozen=True)
@@ -206,5 +190,5 @@ class HmaAtrSmooth:
     def bounded(self, df: DataFrame, lane: Lane) -> DataFrame:
         return self.atr.bounded(self.hma.bounded(df, lane).drop("_hma1"), lane)
 
-    def carried(self, df: DataFrame, lane: Lane) -> DataFrame:
-        return self.atr.carried(df, lane)
+    def carried(self, df: DataFrame, lane: Lane, also: Sequence[Step] = ()) -> DataFrame:
+        return self.atr.carried(df, lane, also)

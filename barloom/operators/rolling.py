@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.lanes import Lane, shifted
-from barloom.common import settled, shuffle_parts
+from barloom.common import settled
 from barloom.functions.statistics import STATISTICS, middle
+from barloom.operators.passes import Step, lane_pass
 
 SOURCES = ("close", "simple_return", "log_return")
 
@@ -35,12 +35,10 @@ def statistics(df: DataFrame, lane: Lane, window: int = 20, source: str = "close
     if source not in SOURCES:
         raise ValueError(f"source must be one of {SOURCES}, not {source!r}")
     picked = [STATISTICS[n] for n in (names or STATISTICS)]
-    always = retain and source == "close"  # closes are never missing: only the first bars lack a value
-    zero = lambda df, held: df.withColumns({f"statistics_{s.name}": F.coalesce(held[s.name], F.lit(0.0)) if always and not s.gaps else held[s.name] for s in picked}).drop("_x")
-    if window >= WIDE and all(s.standard for s in picked):
-        df = wide_statistics(df, lane, window, source, [s.name for s in picked])
-        return zero(df, {s.name: F.col(f"statistics_{s.name}") for s in picked})
+    names = [s.name for s in picked]
     df = df.withColumn("_x", observed(lane, source))
+    if is_wide(window, names):
+        return published(lane_pass(df, lane, [wide_step(window, source, names)]), source, names, retain)
     frame = lane.rows(window if source == "close" else window - 1)
     df = df.withColumns({"statistics_observation_count": F.count("_x").over(frame).cast("int"), **{f"statistics_{s.name}": s.build(F.col("_x"), frame) for s in picked if s.build}})
     if any(s.of_sorted for s in picked):
@@ -48,8 +46,8 @@ def statistics(df: DataFrame, lane: Lane, window: int = 20, source: str = "close
         df = df.withColumn("_values", F.sort_array(F.collect_list("_x").over(frame)))
         df = settled(df, _median=middle(F.col("_values")))
         df = df.withColumns({f"statistics_{s.name}": s.of_sorted(F.col("_values"), F.col("_median")) for s in picked if s.of_sorted}).drop("_values", "_median")
-    held = {s.name: F.when(F.col("statistics_observation_count") >= s.least, F.col(f"statistics_{s.name}")) for s in picked}
-    return zero(df, held)
+    df = df.withColumns({f"statistics_{s.name}": F.when(F.col("statistics_observation_count") >= s.least, F.col(f"statistics_{s.name}")) for s in picked})
+    return published(df, source, names, retain)
 
 
 def retained(df: DataFrame, lane: Lane, source: str = "close", names: Sequence[str] | None = None) -> DataFrame:
@@ -90,39 +88,25 @@ def frame_statistics(frames: np.ndarray) -> dict[str, np.ndarray]:
         }
 
 
-def wide_statistics(df: DataFrame, lane: Lane, window: int, source: str, names: Sequence[str]) -> DataFrame:
-    """As window functions give them, for bars sorted within partitions: the last values are carried from batch to batch, so that no instrument is gathered."""
+def wide_step(window: int, source: str, names: Sequence[str]) -> Step:
+    """All statistics of frames of `_x`, which `observed` gives, as window functions give them: the last values are carried from stretch to stretch."""
     width = window + 1 if source == "close" else window
-    df = df.withColumn("_x", observed(lane, source))
-    columns = [f"statistics_{n}" for n in ("observation_count", *names)]
-    schema = T.StructType([*df.schema.fields, T.StructField(columns[0], T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in columns[1:]]])
-    keys = lane.keys
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, carry = None, np.empty(0)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids = [b.column(b.schema.get_field_index(k)).to_pylist() for k in keys]
-            x = b.column(b.schema.get_field_index("_x")).to_numpy(zero_copy_only=False).astype(float)
-            new = np.ones(len(x), bool)
-            for k in ids:
-                a = np.array(k, object)
-                new[1:] = (a[1:] != a[:-1]) if k is ids[0] else new[1:] | (a[1:] != a[:-1])
-            cuts = [*np.flatnonzero(new).tolist(), len(x)]
-            out = {c: np.empty(len(x)) for c in columns}
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                key = tuple(k[lo] for k in ids)
-                if key != at:
-                    at, carry = key, np.full(width - 1, np.nan)
-                whole = np.concatenate([carry, x[lo:hi]])
-                frames = np.lib.stride_tricks.sliding_window_view(whole, width)
-                for i in range(0, hi - lo, 4096):
-                    got = frame_statistics(frames[i : i + 4096])
-                    for c in columns:
-                        out[c][lo + i : lo + i + len(got["mean"])] = got[c.removeprefix("statistics_")]
-                carry = whole[len(whole) - (width - 1) :]
-            arrays = [pa.array(out[columns[0]].astype(np.int32), pa.int32()), *[pa.array(out[c], pa.float64(), mask=np.isnan(out[c])) for c in columns[1:]]]
-            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, *columns])
-
-    return df.repartition(shuffle_parts(df.sparkSession), *keys).sortWithinPartitions(*keys, lane.order).mapInArrow(run, schema)
+
+    def run(inputs: list[np.ndarray], carry: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
+        whole = np.concatenate([np.full(width - 1, np.nan) if carry is None else carry, inputs[0]])
+        frames = np.lib.stride_tricks.sliding_window_view(whole, width)
+        found = [frame_statistics(frames[i : i + 4096]) for i in range(0, len(frames), 4096)]
+        out = [np.concatenate([f[n] for f in found]) for n in ("observation_count", *names)]
+        return [out[0].astype(np.int32), *out[1:]], whole[len(whole) - (width - 1) :]
+
+    return Step(["_x"], [("statistics_observation_count", T.IntegerType()), *[(f"statistics_{n}", T.DoubleType()) for n in names]], run)
+
+
+def is_wide(window: int, names: Sequence[str]) -> bool:
+    return window >= WIDE and all(STATISTICS[n].standard for n in names)
+
+
+def published(df: DataFrame, source: str, names: Sequence[str], retain: bool = True) -> DataFrame:
+    """`df` with 0.0 for statistics of closes that are not there yet, without `_x`. Closes are never missing: only the first bars lack a value."""
+    first = [n for n in names if retain and source == "close" and not STATISTICS[n].gaps]
+    return df.withColumns({f"statistics_{n}": F.coalesce(f"statistics_{n}", F.lit(0.0)) for n in first}).drop("_x")

@@ -2,24 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.lanes import Lane, shifted
 
 
-def scale_bounded(df: DataFrame, lane: Lane, period: int = 14) -> DataFrame:
+class Scale(Protocol):
+    """A scale of your own: implement these and pass it to a plan."""
+
+    halo: int
+
+    def bounded(self, df: DataFrame, lane: Lane) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class MeanTrueRange:
     """`scale`: mean true range of the last `period` bars, the first bar's left out; the close at the first bar."""
-    before = shifted(lane, F.col("close"))
-    tr = F.when(before.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
-    df = df.withColumn("_tr", tr)
-    return df.withColumn("scale", F.coalesce(F.avg("_tr").over(lane.rows(period - 1)), F.col("close"))).drop("_tr")
+
+    period: int = 14
+
+    @property
+    def halo(self) -> int:
+        return self.period + 1
+
+    def bounded(self, df: DataFrame, lane: Lane) -> DataFrame:
+        before = shifted(lane, F.col("close"))
+        tr = F.when(before.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
+        df = df.withColumn("_tr", tr)
+        return df.withColumn("scale", F.coalesce(F.avg("_tr").over(lane.rows(self.period - 1)), F.col("close"))).drop("_tr")
+
+
+def plain_distance(close: Column, reference: Column) -> Column:
+    """Signed distance of the close from the level."""
+    return close - reference
+
+
+def in_scales(absolute: Column, scale: Column) -> Column:
+    """The absolute distance in units of `scale`, null where that is not above 0."""
+    return F.when(scale > 0, absolute / scale)
 
 
-def distances(df: DataFrame) -> DataFrame:
-    """Signed and absolute distance of the close from the level, and the absolute one in units of `scale` (null where that is not above 0)."""
-    signed = F.col("close") - F.col("reference_price")
-    return df.withColumns({"distance_signed": signed, "distance_absolute": F.abs(signed), "normalized_measurement": F.when(F.col("scale") > 0, F.abs(signed) / F.col("scale"))})
+def distances(df: DataFrame, distance: Callable[[Column, Column], Column] = plain_distance, normalize: Callable[[Column, Column], Column] = in_scales) -> DataFrame:
+    """Signed and absolute distance of the close from the level, and the absolute one in units of `scale`."""
+    signed = distance(F.col("close"), F.col("reference_price"))
+    df = df.withColumns({"distance_signed": signed, "distance_absolute": F.abs(signed)})
+    return df.withColumn("normalized_measurement", normalize(F.col("distance_absolute"), F.col("scale")))
 
 
 def reversals(df: DataFrame, lane: Lane, by_close: bool = False) -> DataFrame:
@@ -36,11 +68,11 @@ def reversals(df: DataFrame, lane: Lane, by_close: bool = False) -> DataFrame:
     return df.withColumns({"reversal_bars_since": (at - F.col("_turn")).cast("int"), "reversal_direction": F.coalesce("_way", F.lit(0))}).drop("_now", "_before", "_turn", "_way")
 
 
-def segments(df: DataFrame, lane: Lane) -> DataFrame:
+def segments(df: DataFrame, lane: Lane, strict: bool = False) -> DataFrame:
     """Regime segments: regime, id from 0, start, age, and the transition (-1, 1) at a flip.
 
     The first regime establishes a segment without transition; before it all are null, the transition 0. A regime that falls back to 0 afterwards breaks the contract of
-    sources: `quality` reports it, the segment columns are null there.
+    sources: the segment columns are null there, `quality` reports it, and with `strict` reading the bar fails.
     """
     df = lane.back(df, _before=F.col("reference_regime"))
     now, before = F.col("reference_regime"), F.coalesce("_before", F.lit(0))
@@ -49,8 +81,12 @@ def segments(df: DataFrame, lane: Lane) -> DataFrame:
     df = lane.running(df, _n=F.when(F.col("_starts"), 1).otherwise(0))
     df = lane.hold(df, _start=F.when(F.col("_starts"), F.col(lane.order)))
     within = lambda c: F.when(now != 0, c.cast("int"))
+    regime = within(now)
+    if strict:
+        fell = F.concat(F.lit("rule broken: segment_contract, regime 0 after it was established, at bar "), F.col(lane.order).cast("string"))
+        regime = F.when((now == 0) & (F.col("_n") > 0), F.raise_error(fell).cast("int")).otherwise(regime)
     return df.withColumns({
-        "segment_regime": within(now),
+        "segment_regime": regime,
         "segment_id": within(F.col("_n") - 1),
         "segment_start_index": within(F.col("_start")),
         "segment_age": within(F.col(lane.order) - F.col("_start")),

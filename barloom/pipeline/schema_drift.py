@@ -7,7 +7,6 @@ are values looked at, by the bars that both captures hold. Typed columns are pro
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,10 +75,12 @@ def headers(lines: DataFrame) -> DataFrame:
     return heads.select("filename", F.col("line_no").alias("header_no"), "delimiter", unique.alias("fields"))
 
 
-def cells(lines: DataFrame, heads: DataFrame) -> DataFrame:
-    """Data lines as values by place: filename, line_no, `v`. The path of a place is its field in the header, see `path_of`; short lines lack places."""
-    rows = _data(lines).join(heads.select("filename", "header_no", "delimiter"), "filename").filter("line_no > header_no")
-    return rows.select("filename", "line_no", _pieces(F.col("text"), F.col("delimiter")).alias("v"))
+def cells(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """Data lines as values by place: filename, line_no, `v`, and what `files` (filename, header_no, delimiter, ...) has beside. The path of a place is its field in the header, see `path_of`; short
+    lines lack places."""
+    rows = _data(lines).join(files, "filename").filter("line_no > header_no")
+    more = [c for c in files.columns if c not in ("filename", "header_no", "delimiter", "fields")]
+    return rows.select("filename", "line_no", _pieces(F.col("text"), F.col("delimiter")).alias("v"), *more)
 
 
 def path_of(fields: Column, place: Column) -> Column:
@@ -138,12 +139,32 @@ def _clock(v: Column) -> Column:
     return F.get(F.filter(F.transform(v, lambda x, i: F.when(timely(x), i)), lambda i: i.isNotNull()), F.lit(0))
 
 
-def timed_cells(lines: DataFrame, heads: DataFrame, registry: DataFrame, recorders: DataFrame | None = None) -> DataFrame:
-    """`cells` with the place of the line's instant, `at`, and the instant, `us`, in the zone of the file's recorder. Written once: everything below reads it."""
+def _pairs(heads: DataFrame, registry: DataFrame) -> DataFrame:
+    """Successive versions of a dataset: the later file and the one before, their fields, and those that are gone and new."""
+    w = Window.partitionBy("dataset_id").orderBy("version", "filename")
+    files = heads.select("filename", "fields").join(_versions(registry), "filename").select("dataset_id", "filename", "fields", F.lag("filename").over(w).alias("before"), F.lag("fields").over(w).alias("old_fields"))
+    return cut(files.filter("before IS NOT NULL").select("*", F.array_except("old_fields", "fields").alias("gone"), F.array_except("fields", "old_fields").alias("new")), "pairs")
+
+
+def _asked(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("size(gone) > 0 AND size(new) > 0")
+
+
+def timed_cells(lines: DataFrame, heads: DataFrame, registry: DataFrame, recorders: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """`cells` with the place of the line's instant, `at`, and the instant, `us`, in the zone of the file's recorder. Written once: everything below reads it.
+
+    With `only`, times are read in the files it names; in others they are null.
+    """
     zones, offsets = _zones(registry, recorders)
-    rows = settled(cells(lines, heads), at=_clock(F.col("v"))).withColumn("clock", F.get("v", F.col("at"))).join(zones, "filename", "left")
-    rows = rows.withColumns({"zone": F.coalesce("zone", F.lit("UTC")), "date_order": F.coalesce("date_order", F.lit("ymd"))})
-    rows = parse_times(rows, "clock", "zone", "date_order", offsets, "us", "us_late")
+    files = heads.select("filename", "header_no", "delimiter").join(zones, "filename", "left")
+    files = files.withColumns({"zone": F.coalesce("zone", F.lit("UTC")), "date_order": F.coalesce("date_order", F.lit("ymd"))})
+    timed = F.lit(True)
+    if only is not None:
+        files = files.join(only.select("filename", F.lit(True).alias("timed")).distinct(), "filename", "left")
+        timed = F.col("timed")
+    # One small table of the files, so that lines are joined once.
+    rows = settled(cells(lines, cut(files, "files")), at=F.when(timed, _clock(F.col("v"))))
+    rows = parse_times(rows.withColumn("clock", F.get("v", F.col("at"))), "clock", "zone", "date_order", offsets, "us", "us_late")
     return cut(rows.select("filename", "line_no", "v", "at", "us"), "cells")
 
 
@@ -157,14 +178,14 @@ def drift(lines: DataFrame, registry: DataFrame, recorders: DataFrame | None = N
     Empty values agree with nothing; a path without any value has no type and is never retyped. A declared schema of unknown name, null or empty is no mislabelling.
     """
     heads = cut(headers(lines), "headers")
-    return _changes(timed_cells(lines, heads, registry, recorders), heads, registry)
+    pairs = _pairs(heads, registry)
+    # Bars are compared only where fields may be renamed.
+    sides = _asked(pairs).select(F.explode(F.array("filename", "before")).alias("filename"))
+    return _changes(timed_cells(lines, heads, registry, recorders, sides), heads, pairs, registry)
 
 
-def _changes(rows: DataFrame, heads: DataFrame, registry: DataFrame) -> DataFrame:
+def _changes(rows: DataFrame, heads: DataFrame, pairs: DataFrame, registry: DataFrame) -> DataFrame:
     versions = _versions(registry)
-    w = Window.partitionBy("dataset_id").orderBy("version", "filename")
-    files = heads.select("filename", "fields").join(versions, "filename").select("dataset_id", "filename", "fields", F.lag("filename").over(w).alias("before"), F.lag("fields").over(w).alias("old_fields"))
-    pairs = cut(files.filter("before IS NOT NULL").select("*", F.array_except("old_fields", "fields").alias("gone"), F.array_except("fields", "old_fields").alias("new")), "pairs")
     types = type_statistics(rows, heads).select("filename", "path", "type").filter("type IS NOT NULL")
 
     old = types.select(F.col("filename").alias("before"), "path", F.col("type").alias("old_type"))
@@ -174,7 +195,7 @@ def _changes(rows: DataFrame, heads: DataFrame, registry: DataFrame) -> DataFram
     )
 
     # Values of the fields that may be renamed, by bar. The bar is the instant in its line.
-    asked = pairs.filter("size(gone) > 0 AND size(new) > 0")
+    asked = _asked(pairs)
     places = lambda names, fields: F.transform(names, lambda x: F.struct(x.alias("path"), (F.array_position(fields, x) - 1).cast("int").alias("place")))
     sides = asked.select("filename", F.col("filename").alias("pair"), F.lit(True).alias("later"), places(F.col("new"), F.col("fields")).alias("wanted")).unionByName(
         asked.select(F.col("before").alias("filename"), F.col("filename").alias("pair"), F.lit(False).alias("later"), places(F.col("gone"), F.col("old_fields")).alias("wanted"))
@@ -220,18 +241,17 @@ def lineage(heads: DataFrame, registry: DataFrame, changes: DataFrame) -> DataFr
     versions = _versions(registry)
     moves = changes.filter("change = 'renamed'").groupBy("filename").agg(F.map_from_entries(F.collect_list(F.struct("new_name", "old_name"))).alias("moves"))
     files = heads.select("filename", "fields").join(versions, "filename").join(moves, "filename", "left")
+    none = F.create_map().cast("map<string,string>")
+    ordered = F.collect_list(F.struct("version", "filename", "fields", F.map_entries(F.coalesce("moves", none)).alias("moves")))
+    begin = F.struct(none.alias("known"), F.array().cast("array<struct<filename:string,known:map<string,string>>>").alias("out"))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(order=[tuple(x for x in v if x is not None) for v in pdf["version"]]).sort_values(["order", "filename"])
-        known: dict[str, str] = {}
-        out = []
-        for filename, fields, moves in zip(pdf["filename"], pdf["fields"], pdf["moves"]):
-            back = dict(moves) if moves is not None else {}
-            known = {p: known.get(back.get(p, p), p) for p in fields}
-            out += [(filename, p, n) for p, n in known.items()]
-        return pd.DataFrame(out, columns=["filename", "path", "name"])
+    def walk(so_far: Column, file: Column) -> Column:
+        moved = F.map_from_entries(file.moves)
+        known = F.map_from_arrays(file.fields, F.transform(file.fields, lambda p: F.coalesce(F.element_at(so_far.known, F.coalesce(F.element_at(moved, p), p)), p)))
+        return F.struct(known.alias("known"), F.concat(so_far.out, F.array(F.struct(file.filename.alias("filename"), known.alias("known")))).alias("out"))
 
-    return files.groupBy("dataset_id").applyInPandas(walk, "filename string, path string, name string")
+    walked = files.groupBy("dataset_id").agg(F.array_sort(ordered).alias("files")).select(F.inline(F.aggregate("files", begin, walk, lambda end: end.out)))
+    return walked.select("filename", F.explode("known").alias("path", "name"))
 
 
 def bar_table(lines: DataFrame, registry: DataFrame, recorders: DataFrame | None = None) -> DataFrame:
@@ -243,7 +263,7 @@ def bar_table(lines: DataFrame, registry: DataFrame, recorders: DataFrame | None
     """
     heads = cut(headers(lines), "headers")
     rows = timed_cells(lines, heads, registry, recorders)
-    changes = _changes(rows, heads, registry)
+    changes = _changes(rows, heads, _pairs(heads, registry), registry)
     names = lineage(heads, registry, changes)
     # A file's fields by place, as they were first called. A name of an older field that came back beside its renamed one would clash: the path's own name then counts, with its place.
     first = F.transform("fields", lambda x: F.coalesce(F.element_at("names", x), x))

@@ -98,9 +98,9 @@ def parse_times(df: DataFrame, text: str, zone: str, date_order: str, offsets: d
     pattern, replacement = _compiled()
     own = free_names(df, ["tp_parts", "tp_num", "tp_zone", "tp_wall", "tp_utc", "tp_after", "tp_plain", "tp_rest"])
     c, k, z, w, u, a, q, t = own
-    # Most texts are plain UTC times. Their components stand at fixed places: they are read there, and take no part in the alternation.
+    # Most texts are plain UTC times, which a cast reads (digits beyond the microsecond are dropped); they take no part in the alternation.
     plain = F.col(text).rlike(PLAIN_UTC)
-    df = settled(df, **{q: F.when(plain, F.unix_micros(F.concat(F.substring(F.col(text), 1, 19), F.substring(F.regexp_extract(F.col(text), r"\.\d+", 0), 1, 7), F.lit("Z")).try_cast("timestamp"))), t: F.when(~plain, F.col(text))})
+    df = settled(df, **{q: F.when(plain, F.unix_micros(F.col(text).try_cast("timestamp"))), t: F.when(~plain, F.col(text))})
     raw = F.split(F.regexp_replace(F.col(t), F.lit(pattern), F.lit(replacement)), "\u0001")
     # Blanks and fractions may be of any length. No two repeats of the pattern share characters without one between, so a text is scanned in linear time.
     df = settled(df, **{c: raw})
@@ -143,7 +143,7 @@ def parse_times(df: DataFrame, text: str, zone: str, date_order: str, offsets: d
     df = settled(df.drop(early, late), **{early: fixed, u: free, z: F.coalesce(F.col(f"{k}.r"), F.col(zone))})
     # One text that all names stand in: a list of some hundred literals would slow down the planning of every later step.
     known = F.instr(F.lit("|" + "|".join(known_zones(df)) + "|"), F.concat(F.lit("|"), F.col(z), F.lit("|"))) > 0
-    df = settled(df, **{z: F.when(F.col(u).isNotNull() & known, F.col(z))})
+    df = settled(df, **{z: F.when(F.col(u).isNotNull() & known & ~F.col(z).contains("|"), F.col(z))})
     df = settled(df.drop(w), **{w: F.col(u), u: _utc(F.col(u), F.col(z))})
     later = F.col(w) + F.col(u) + DAY_US - _wall(F.col(u) + DAY_US, F.col(z))
     df = settled(df, **{a: later, u: F.when(_wall(F.col(u), F.col(z)) == F.col(w), F.col(u))})

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import Enum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.lanes import Lane
@@ -38,7 +39,8 @@ class FeaturePlan:
     """Parameters of a run. `level` is one of the four sources or a source of your own; what its mode does not publish is never computed.
 
     Bars have `symbol` (or `key`), a dense `bar_index` from 0, ts, open, high, low, close and volume (null counts as 0). Bars that come twice must be reduced to their last
-    version first (`latest`). `part_bars` splits the bars of an instrument over tasks.
+    version first (`latest`). `part_bars` splits the bars of an instrument over tasks. `scale` (by default the mean true range of `scale_period`), `distance` of close and level and `normalize` of
+    absolute distance and scale can be replaced by your own, as can the level.
     """
 
     level: AtrSmooth | DarvasBox | Hma | HmaAtrSmooth | Level
@@ -52,6 +54,9 @@ class FeaturePlan:
     key: str = "symbol"
     part_bars: int | None = None
     strict: bool = False
+    scale: stages.Scale | None = None
+    distance: Callable[[Column, Column], Column] = stages.plain_distance
+    normalize: Callable[[Column, Column], Column] = stages.in_scales
 
     def __post_init__(self):
         for name in ("scale_period", "statistics_window", "mean_window"):
@@ -79,22 +84,29 @@ class FeaturePlan:
         """`key` and the published columns for every bar."""
         lane = Lane(self.key, "bar_index", self.part_bars)
         df = bars.select(self.key, F.col("bar_index").cast("int").alias("bar_index"), "ts", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")])
-        halo = max(self.level.halo, self.scale_period + 1, self.statistics_window + 2)
+        scale = self.scale or stages.MeanTrueRange(self.scale_period)
+        halo = max(self.level.halo, scale.halo, self.statistics_window + 2)
         df = lane.open(df, halo)
         df = self.level.bounded(df, lane)
-        df = stages.scale_bounded(df, lane, self.scale_period)
+        df = scale.bounded(df, lane)
+        folds, wide = isinstance(self.level, (AtrSmooth, HmaAtrSmooth)), rolling.is_wide(self.statistics_window, self.statistics)
         if self.part_bars:
             df = self._statistics(df, lane)
-        df = self.level.carried(lane.close(df), lane)
-        if not self.part_bars:
+            df = self.level.carried(lane.close(df), lane)
+        elif folds and wide:
+            # One pass, sort and exchange for the trailing stop and the statistics.
+            df = df.withColumn("_x", rolling.observed(lane, self.statistics_source))
+            df = self.level.carried(df, lane, [rolling.wide_step(self.statistics_window, self.statistics_source, self.statistics)])
+            df = rolling.published(df, self.statistics_source, self.statistics, self.retain)
+        else:
             # Behind the fold, through which nothing is pruned: unasked statistics are not computed.
-            df = self._statistics(df, lane)
+            df = self._statistics(self.level.carried(df, lane), lane)
         if self.retain:
             df = rolling.retained(df, lane, self.statistics_source, self.statistics)
-        df = stages.distances(df)
+        df = stages.distances(df, self.distance, self.normalize)
         df = stages.reversals(df, lane, self.reversal_by_close)
         if isinstance(self.level, (AtrSmooth, HmaAtrSmooth)):
-            df = stages.segments(df, lane)
+            df = stages.segments(df, lane, self.strict)
         if isinstance(self.level, DarvasBox):
             df = stages.box_distances(df)
             df = stages.rolling_mean(df, lane, F.col("darvas_signed_closing_distance"), "darvas_mean_signed_distance", self.mean_window)

@@ -1,8 +1,9 @@
 """The live twin of the feature plan.
 
 Each instrument keeps two states: that after the last closed bar, and none for the live one. A message for the live bar starts from the closed state
-again, so that publishing a bar ten times leaves the same result as once. The next bar closes the live one. Anything else (a gap, a bar
-that is long closed) is refused and reported; its instrument is then replayed from the bar store, in batch or by a fresh query.
+again, so that publishing a bar ten times leaves the same result as once. The next bar closes the live one. Bar 0 begins a fresh pass. Anything else (a gap, a bar
+that is long closed) is a discontinuity: with a bar store, the instrument's state is rebuilt by replaying all bars before the message's own from it, and all are published again; where
+the store lacks one, or without a store, the message is refused and reported.
 
 All columns of the plan are published, by its statistics source and options. A plan with a level or statistics of your own, or a strict one, is
 refused with ValueError: their expressions exist for DataFrames only, and a live bar may still change.
@@ -13,7 +14,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,8 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.common import shuffle_parts
 from barloom.functions.statistics import STATISTICS
 from barloom.operators.levels import AtrSmooth, DarvasBox, Hma, HmaAtrSmooth, trailing_step
+from barloom.operators import stages
 from barloom.operators.rolling import frame_statistics
 from barloom.plans import FeaturePlan
 
@@ -40,6 +43,8 @@ def possible(plan: FeaturePlan) -> None:
         raise ValueError("a live plan cannot have a level of your own")
     if own := [n for n in plan.statistics if not STATISTICS[n].standard]:
         raise ValueError(f"a live plan cannot have statistics of your own: {own}")
+    if plan.scale is not None or plan.distance is not stages.plain_distance or plan.normalize is not stages.in_scales:
+        raise ValueError("a live plan cannot have a scale, distance or normalization of your own")
     if plan.strict:
         raise ValueError("a live plan cannot be strict")
 
@@ -222,18 +227,65 @@ def step(e: Engine, plan: FeaturePlan, bar: tuple) -> tuple[Engine, dict]:
 
 
 def advance(closed: Engine, live: tuple | None, plan: FeaturePlan, index: int, bar: tuple) -> tuple[Engine, tuple | None, dict]:
-    """One message: `closed` is the state before the live bar `live` (index and bar). New states and a row with status appended, updated or refused."""
+    """One message: `closed` is the state before the live bar `live` (index and bar). New states and a row with status appended, updated, restarted (bar 0 comes again after others) or refused."""
     at = closed.at + 1
+    restarted = index == 0 and at > 0
+    if restarted:
+        closed, live, at = Engine(), None, 0
     if live is not None and index == live[0] + 1:
         closed, _ = step(closed, plan, live[1])
         at += 1
     elif live is not None and index != live[0] or live is None and index != at:
         return closed, live, {"bar_index": index, "status": "refused"}
-    status = "updated" if live is not None and index == live[0] else "appended"
+    status = "restarted" if restarted else "updated" if live is not None and index == live[0] else "appended"
     _, row = step(closed, plan, bar)
     return closed, (index, bar), row | {"status": status}
 
 
+# Bars of one instrument with an index from the first number up to, and without, the second: index and bar, in order.
+History = Callable[[int, int], list[tuple[int, tuple]]]
+SPAN = 50_000  # bars that a replay holds at once
+
+
+def stored_bars(store: str, key: str, value) -> History:
+    """The bars of the instrument `value` in a Parquet table that all executors see, with `key`, bar_index, high, low, close, volume and, where it has them, ts and open."""
+    import pyarrow.dataset as ds
+
+    def between(lo: int, hi: int) -> list[tuple[int, tuple]]:
+        data = ds.dataset(store.removeprefix("file://"), format="parquet", exclude_invalid_files=True)
+        columns = [c for c in ("bar_index", "ts", "open", "high", "low", "close", "volume") if c in data.schema.names]
+        inside = (ds.field(key) == value) & (ds.field("bar_index") >= lo) & (ds.field("bar_index") < hi)
+        found = data.to_table(columns=columns, filter=inside).to_pandas().sort_values("bar_index", kind="stable").drop_duplicates("bar_index", keep="last")
+        return [(i, tuple(bar)) for i, bar in _messages(found)]
+
+    return between
+
+
+def recovered(plan: FeaturePlan, index: int, bar: tuple, history: History) -> Iterator[tuple[Engine, dict]]:
+    """States and rows of all bars before `index`, replayed from nothing, and of the message's own bar; none if the history lacks a bar. `SPAN` bars are held at once."""
+    spans = [(lo, min(lo + SPAN, index)) for lo in range(0, index, SPAN)]
+    if all([i for i, _ in history(lo, hi)] == list(range(lo, hi)) for lo, hi in spans):
+        e = Engine()
+        for lo, hi in spans:
+            for _, old in history(lo, hi):
+                e, row = step(e, plan, old)
+                yield e, row | {"status": "replayed"}
+        yield e, step(e, plan, bar)[1] | {"status": "replayed"}
+
+
+def follow(closed: Engine, live: tuple | None, plan: FeaturePlan, messages: Iterator[tuple[int, tuple]], history: History | None = None) -> Iterator[tuple[Engine, tuple | None, dict]]:
+    """States and rows of messages in order, discontinuities recovered from `history`."""
+    for index, bar in messages:
+        now, ahead, row = advance(closed, live, plan, index, bar)
+        if row["status"] == "refused" and history is not None:
+            for e, old in recovered(plan, index, bar, history):
+                now, ahead, row = e, (index, bar), old
+                if old["bar_index"] < index:
+                    yield e, (index, bar), old
+        closed, live = now, ahead
+        yield closed, live, row
+
+
 def _messages(bars: pd.DataFrame) -> Iterator[tuple[int, tuple]]:
     """Index and bar of each message; a time or opening price that messages lack is None."""
     none = [None] * len(bars)
@@ -241,28 +293,61 @@ def _messages(bars: pd.DataFrame) -> Iterator[tuple[int, tuple]]:
     return ((int(i), bar) for i, *bar in zip(bars["bar_index"], *values))
 
 
-def replay(bars: pd.DataFrame, plan: FeaturePlan) -> pd.DataFrame:
+def replay(bars: pd.DataFrame, plan: FeaturePlan, history: History | None = None) -> pd.DataFrame:
     """Features of one instrument's messages in order, as a live query gives them: status and the plan's columns, without a time or opening price that messages lack."""
     possible(plan)
-    closed, live, rows = Engine(), None, []
-    for i, bar in _messages(bars):
-        closed, live, row = advance(closed, live, plan, i, tuple(bar))
-        rows.append(row)
+    rows = [row for _, _, row in follow(Engine(), None, plan, ((i, tuple(b)) for i, b in _messages(bars)), history)]
     lacking = [out for out, c in (("timestamp", "ts"), ("open", "open")) if c not in bars]
     return pd.DataFrame(rows, columns=[*plan.columns, "status"]).drop(columns=lacking)
 
 
-def live_features(bars: DataFrame, plan: FeaturePlan) -> DataFrame:
+def _typed(rows: list[dict], types: dict[str, str]) -> pd.DataFrame:
+    pdf = pd.DataFrame(rows, columns=list(types))
+    kinds = {"int": "Int32", "boolean": "boolean", "double": "float64"}
+    pdf = pdf.astype({c: kinds[t] for c, t in types.items() if t in kinds and c != "timestamp"})
+    return pdf.assign(timestamp=pd.to_datetime(pdf["timestamp"]))
+
+
+def _types(bars: DataFrame, plan: FeaturePlan) -> dict[str, str]:
+    kinds = dict(bars.dtypes)
+    own = {c: "int" if c in _INTS else "boolean" if c in _FLAGS else "double" for c in plan.columns}
+    return {plan.key: kinds[plan.key], "bar_index": "int", "status": "string"} | own | {"timestamp": kinds.get("ts", "timestamp")}
+
+
+def replay_all(messages: DataFrame, plan: FeaturePlan) -> DataFrame:
+    """Recorded messages (columns as of live_features) of many instruments replayed in order of bar_index and seq: key, status and the plan's columns, a row a message.
+
+    Messages are sorted within partitions and stepped through batch by batch with carried state, so that no instrument is gathered.
+    """
+    possible(plan)
+    types, key = _types(messages, plan), plan.key
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, closed, live = None, Engine(), None
+        for pdf in batches:
+            out = []
+            for value, part in pdf.groupby(key, sort=False, dropna=False):
+                if value != at:
+                    at, closed, live = value, Engine(), None
+                for closed, live, row in follow(closed, live, plan, ((i, tuple(b)) for i, b in _messages(part))):
+                    out.append(row | {key: value})
+            yield _typed(out, types)
+
+    ordered = messages.repartition(shuffle_parts(messages.sparkSession), key).sortWithinPartitions(key, "bar_index", "seq")
+    return ordered.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in types.items()))
+
+
+def live_features(bars: DataFrame, plan: FeaturePlan, store: str | None = None) -> DataFrame:
     """Features of a stream of bar messages (the plan's key, bar_index, high, low, close, volume, and `seq`, their order), a row for each: key, status and the plan's columns.
 
-    `ts` and `open` are passed on where the stream has them, else null. Messages of one micro-batch apply in order of bar_index and seq. The state of an
-    instrument is bounded by the plan's look-back.
+    `ts` and `open` are passed on where the stream has them, else null. Messages of one micro-batch apply in order of seq where there is a `store` to recover from, else
+    of bar_index and seq. `store` is a Parquet table of bars in a folder that all executors see (see stored_bars). The state of an instrument is bounded by the plan's look-back.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     possible(plan)
     kinds = dict(bars.dtypes)
-    types = {plan.key: kinds[plan.key], "bar_index": "int", "status": "string"} | {c: "int" if c in _INTS else "boolean" if c in _FLAGS else "double" for c in plan.columns} | {"timestamp": kinds.get("ts", "timestamp")}
+    types = _types(bars, plan)
 
     class Live(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -270,14 +355,16 @@ def live_features(bars: DataFrame, plan: FeaturePlan) -> DataFrame:
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             closed, live = _load(bytes(self.state.get()[0])) if self.state.exists() else (Engine(), None)
+            history = stored_bars(store, plan.key, key[0]) if store else None
             out = []
-            for i, bar in _messages(pd.concat(list(rows)).sort_values(["bar_index", "seq"])):
-                closed, live, row = advance(closed, live, plan, i, tuple(bar))
-                out.append(row)
+            messages = pd.concat(list(rows)).sort_values(["seq"] if store else ["bar_index", "seq"])
+            for closed, live, row in follow(closed, live, plan, ((i, tuple(b)) for i, b in _messages(messages)), history):
+                out.append(row | {plan.key: key[0]})
+                if len(out) >= SPAN:
+                    yield _typed(out, types)
+                    out = []
             self.state.update((_store(closed, live),))
-            pdf = pd.DataFrame(out, columns=list(types)).assign(**{plan.key: key[0]})
-            pdf = pdf.astype({c: {"int": "Int32", "boolean": "boolean", "double": "float64"}[t] for c, t in types.items() if c not in (plan.key, "status", "timestamp")})
-            yield pdf.assign(timestamp=pd.to_datetime(pdf["timestamp"]))
+            yield _typed(out, types)
 
         def close(self) -> None:
             pass

@@ -211,7 +211,36 @@ def test_quality_queries_report_all_rules(spark, tmp_path):
     e = spark.createDataFrame(rows, "event_type string, event_id long, value double").withColumn("ts", F.timestamp_seconds("event_id"))
     e.write.parquet(str(tmp_path / "events.parquet"))
     base = {"prices_finite", "reference_finite", "regime_in_range", "distance_finite", "scale_positive", "normalized_not_negative", "statistics_finite"}
-    for name, own in (("f_quality_composite", {"geometry_finite", "alignment_in_range", "segment_consistent"}), ("f_quality_box", {"box_distance_finite"})):
+    for name, own in (("f_quality_composite", {"geometry_finite", "alignment_in_range", "segment_consistent", "segment_contract"}), ("f_quality_box", {"box_distance_finite"})):
         got = {r["rule"]: (r["rows"], r["violations"]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
         assert set(got) == base | own
         assert all(n == (44, 4 if rule in ("scale_positive", "normalized_not_negative") else 0) for rule, n in got.items()), got
+
+
+def test_regime_that_falls_back_breaks_the_contract(spark):
+    rows = [("X", i, r) for i, r in enumerate([0, 1, 1, 0, 0, 1, -1])] + [("Y", i, r) for i, r in enumerate([0, 0, -1, 1])]
+    df = spark.createDataFrame(rows, "symbol string, bar_index int, reference_regime int")
+    got = stages.segments(df, Lane())
+    report = {r["rule"]: (r["rows"], r["violations"]) for r in checks.quality(got).collect()}
+    assert report["segment_contract"] == (11, 2)
+    with pytest.raises(Exception, match="segment_contract"):
+        stages.segments(df, Lane(), strict=True).collect()
+    assert stages.segments(df.filter("symbol = 'Y'"), Lane(), strict=True).count() == 4
+
+
+def test_scale_distance_and_normalization_of_your_own(spark):
+    class Range:
+        halo = 4
+
+        def bounded(self, df, lane):
+            return df.withColumn("scale", F.max("high").over(lane.rows(3)) - F.min("low").over(lane.rows(3)))
+
+    c = walk(60, 4)
+    b = bars(spark, c, [x + 0.5 for x in c], [x - 0.5 for x in c])
+    options = {"scale": Range(), "distance": lambda close, level: F.log(close / level), "normalize": lambda d, s: d / (s + 1)}
+    plain, own = hma(9).apply(b).orderBy("bar_index").collect(), hma(9, **options).apply(b).orderBy("bar_index").collect()
+    for i, (p, o) in enumerate(zip(plain, own)):
+        span = max(c[max(0, i - 3) : i + 1]) - min(c[max(0, i - 3) : i + 1]) + 1
+        d = math.log(p["close"] / p["reference_price"])
+        assert math.isclose(o["scale"], span) and math.isclose(o["distance_signed"], d, abs_tol=1e-12) and math.isclose(o["normalized_measurement"], abs(d) / (span + 1), abs_tol=1e-12)
+    close_to([r["scale"] for r in own], column(hma(9, part_bars=30, **options).apply(b), "scale"))

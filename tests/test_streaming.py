@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.statistics import STATISTICS, Statistic, register
 from barloom.plans import FeaturePlan, atr_smooth, darvas_box, hma, hma_atr_smooth
-from barloom.streaming.live import live_features, live_tick_bars, replay
+from barloom.streaming.live import live_features, live_tick_bars, replay, stored_bars
 from test_features import SCHEMA, walk
 
 
@@ -35,7 +35,47 @@ def test_gaps_and_closed_bars_are_refused():
     m = messages(10)
     jump = pd.concat([m.iloc[:4], m.iloc[6:7], m.iloc[1:2], m.iloc[4:6]])
     assert list(replay(jump, hma(4)).status) == ["appended"] * 4 + ["refused", "refused", "appended", "appended"]
-    assert list(replay(m.iloc[[0, 0, 1, 1, 0]], hma(4)).status) == ["appended", "updated", "appended", "updated", "refused"]
+    assert list(replay(m.iloc[[0, 0, 1, 1, 0, 1]], hma(4)).status) == ["appended", "updated", "appended", "updated", "restarted", "appended"]
+
+
+def test_discontinuities_are_replayed_from_the_store(spark, tmp_path):
+    """After a gap, a late bar or a restart, states are those of a clean run; what the store lacks is refused."""
+    plan = hma_atr_smooth(9, 5, 1.0, 10, statistics_window=8)
+    m = messages(40)
+    m.assign(symbol="A").query("bar_index != 30").to_parquet(tmp_path / "bars.parquet")
+    history = stored_bars(f"file://{tmp_path}/bars.parquet", "symbol", "A")
+    want = replay(m, plan)
+    # 0..9, a jump to 15, 16; a late bar 5 and what follows it; a jump over the bar that the store lacks.
+    order = [*range(10), 15, 16, 5, 6, 7, 35]
+    got = replay(m.iloc[order], plan, history)
+    tail = [("appended", i) for i in range(10)] + [("replayed", i) for i in range(16)] + [("appended", 16)] + [("replayed", i) for i in range(6)] + [("appended", 6), ("appended", 7), ("refused", 35)]
+    assert list(zip(got.status, got.bar_index)) == tail
+    for r in got[got.status != "refused"].itertuples():
+        w = want.iloc[r.bar_index]
+        for c in want.columns:
+            if c != "status":
+                x, y = getattr(r, c), w[c]
+                assert pd.isna(x) and pd.isna(y) or math.isclose(x, y, rel_tol=1e-12, abs_tol=1e-12), (c, r.bar_index)
+    assert list(replay(m.iloc[[0, 1, 2, 9]], plan, stored_bars(str(tmp_path / "bars.parquet"), "symbol", "B")).status)[-1] == "refused"
+
+
+def test_stream_recovers_and_restarts(spark, tmp_path):
+    """A query that is stopped and started again goes on from its checkpoint, and a gap is replayed from the store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    plan = atr_smooth(5, 1.0, 10, statistics_window=8)
+    m = messages(30).assign(symbol="A", seq=range(30))
+    m.drop(columns="seq").to_parquet(tmp_path / "store.parquet")
+    df = spark.createDataFrame(m).withColumn("bar_index", F.col("bar_index").cast("int"))
+    src, out = str(tmp_path / "messages"), {}
+    for lo, hi in [(0, 10), (10, 12), (20, 30)]:  # three runs; 12..19 never come
+        df.filter(F.col("bar_index").between(lo, hi - 1)).coalesce(1).write.mode("append").parquet(src)
+        stream = live_features(spark.readStream.schema(df.schema).parquet(src), plan, store=f"file://{tmp_path}/store.parquet")
+        q = stream.writeStream.foreachBatch(lambda b, _: out.update({r["bar_index"]: r for r in b.collect()})).outputMode("update")
+        q.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+    want = replay(m, plan).set_index("bar_index")
+    assert sorted(out) == list(range(30))
+    assert {out[i]["status"] for i in range(20)} <= {"replayed", "appended"} and out[29]["status"] == "appended"
+    assert all(math.isclose(out[i]["reference_price"], want.reference_price[i], rel_tol=1e-12) for i in out)
 
 
 def run(stream, name, tmp_path):
