@@ -13,6 +13,7 @@ from barloom.operators import bars as bar_ops
 from barloom.operators import checks, stages
 from barloom.plans import FeaturePlan, atr_smooth, darvas_box, hma, hma_atr_smooth
 from barloom.sinks import series
+from barloom.streaming.live import replay_all
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +21,7 @@ SQL: dict[str, str] = {}
 
 TICKS = 5  # ticks a bar
 WINDOW = 20
+NUDGE = 1.234567e-7  # added before rounding, on both sides: means of prices in cents lie on the ties of any number of places, where the last bit would decide
 
 
 def event_bars(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,7 +32,7 @@ def event_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     kinds = dict(df.dtypes)
-    return df.select("symbol", "bar_index", *[F.round(c, places).alias(c) if kinds[c] == "double" else F.col(c) for c in columns])
+    return df.select("symbol", "bar_index", *[F.round(F.col(c) + NUDGE, places).alias(c) if kinds[c] == "double" else F.col(c) for c in columns])
 
 
 def query(name: str, sql: str | None = None):
@@ -116,7 +118,7 @@ seg_ AS (SELECT *, CASE WHEN reference_regime <> 0 THEN CAST(sum(CASE WHEN start
 
 
 def select(columns: list[str], source: str, *parts: str, doubles: set[str] = frozenset(), recursive: bool = False) -> str:
-    shown = ", ".join(f"round({c}, 6) AS {c}" if c in doubles else c for c in columns)
+    shown = ", ".join(f"round({c} + {NUDGE}, 6) AS {c}" if c in doubles else c for c in columns)
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} SELECT symbol, bar_index, {shown} FROM {source}"
 
 
@@ -168,21 +170,55 @@ def _geometry(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def statistics_sql(source: str) -> str:
+def statistics_parts(source: str, window: int, of: str = "scaled_", into: str = "kept_") -> str:
+    """The relation `into`: all of `of` with the rolling statistics, unrounded."""
     x = {"close": "close", "simple_return": "CASE WHEN close > 0 AND close1 > 0 THEN close / close1 - 1 END", "log_return": "CASE WHEN close > 0 AND close1 > 0 THEN ln(close / close1) END"}[source]
-    w = f"({OVER} ROWS BETWEEN {WINDOW if source == 'close' else WINDOW - 1} PRECEDING AND CURRENT ROW)"
+    w = f"({OVER} ROWS BETWEEN {window if source == 'close' else window - 1} PRECEDING AND CURRENT ROW)"
     stats = {"mean": ("avg", 1), "median": ("median", 1), "minimum": ("min", 1), "maximum": ("max", 1), "mad": ("mad", 1), "variance": ("var_samp", 2), "standard_deviation": ("stddev_samp", 2), "skewness": ("skewness", 3), "kurtosis": ("kurtosis", 4)}
     raw = ", ".join(f"CASE WHEN count(x) OVER {w} >= {n} AND {'min(x) OVER ' + w + ' < max(x) OVER ' + w if k in ('skewness', 'kurtosis') else 'true'} THEN {f}(x) OVER {w} END AS {k}" for k, (f, n) in stats.items())
-    kept = ", ".join(f"round(coalesce(last_value({k} IGNORE NULLS) OVER {UPTO}, 0.0), 6) AS statistics_{k}" for k in [*stats, "range_"]).replace("statistics_range_", "statistics_range")
+    kept = ", ".join(f"coalesce(last_value({k} IGNORE NULLS) OVER {UPTO}, 0.0) AS statistics_{k}" for k in [*stats, "range_"]).replace("statistics_range_", "statistics_range")
     return (
-        f"WITH {BARS}, {RANGES}, x_ AS (SELECT *, {x} AS x FROM scaled_), raw_ AS (SELECT symbol, bar_index, CAST(count(x) OVER {w} AS INTEGER) AS statistics_observation_count, {raw},"
-        f" max(x) OVER {w} - min(x) OVER {w} AS range_ FROM x_) SELECT symbol, bar_index, statistics_observation_count, {kept} FROM raw_"
+        f"x_ AS (SELECT *, {x} AS x FROM {of}), stats_ AS (SELECT *, CAST(count(x) OVER {w} AS INTEGER) AS statistics_observation_count, {raw}, max(x) OVER {w} - min(x) OVER {w} AS range_ FROM x_),"
+        f" {into} AS (SELECT *, {kept} FROM stats_)"
     )
 
 
+def statistics_sql(source: str, window: int = WINDOW) -> str:
+    columns = ", ".join(c if c.endswith("count") else f"round({c} + {NUDGE}, 6) AS {c}" for c in _STATS)
+    return f"WITH {BARS}, {RANGES}, {statistics_parts(source, window)} SELECT symbol, bar_index, {columns} FROM kept_"
+
+
 _STATS = [f"statistics_{k}" for k in ("observation_count", "mean", "median", "minimum", "maximum", "range", "mad", "variance", "standard_deviation", "skewness", "kurtosis")]
 for _source in ("close", "simple_return", "log_return"):
     _plan_query(f"f_statistics_{_source}", hma(statistics_window=WINDOW, statistics_source=_source), _STATS, statistics_sql(_source))
+# From 32 values on, frames are computed as blocks of arrays.
+_plan_query("f_statistics_wide", hma(statistics_window=64), _STATS, statistics_sql("close", 64))
+_plan_query("f_statistics_wide_folded", atr_smooth(multiplier=1.0, statistics_window=48, statistics_source="log_return"), _STATS, statistics_sql("log_return", 48))
+
+
+def composite_parts(multiplier: float, window: int) -> str:
+    """The relation geo_: every column of the composite plan, unrounded."""
+    return ", ".join([
+        RANGES, hull_sql("scaled_", "hull_"), stop_sql(multiplier, "hull_"), DISTANCE, reversal_sql("reference_regime"), SEGMENTS.replace("FROM dist_", "FROM reversed_").replace("AS segment_id,", "AS segment_id, CASE WHEN reference_regime <> 0 THEN reference_regime END AS segment_regime,"),
+        "aged_ AS (SELECT *, bar_index - segment_start_index AS segment_age FROM seg_)", statistics_parts("close", window, "aged_"), GEOMETRY.replace("FROM dist_", "FROM kept_"),
+    ])
+
+
+# All published columns as they are compared: doubles to six places (the position, which near-zero denominators magnify, to three; negative zero is zero).
+_SHOWN = [c for c in hma_atr_smooth().columns if c not in ("timestamp",)]
+_EXACT = {"bar_index", "reference_regime", "statistics_observation_count", *REVERSAL, "segment_regime", "segment_id", "segment_start_index", "segment_age", "segment_transition", "hma_price_atrsmooth_alignment"}
+
+
+def _places(c: str) -> int:
+    return 3 if c.endswith("position") else 6
+
+
+def shown_sql(columns: list[str]) -> str:
+    return ", ".join(c if c in _EXACT else f"round({'volume' if c == 'tick_volume' else c} + {NUDGE}, {_places(c)}) + 0.0 AS {c}" for c in columns)
+
+
+def shown(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    return df.select("symbol", *more, *[F.col(c) if c in _EXACT else (F.round(F.col(c) + NUDGE, _places(c)) + F.lit(0.0)).alias(c) for c in columns])
 
 
 @query("f_tick_bars", f"WITH {BARS} SELECT symbol, bar_index, ts, open, high, low, close, volume, volume < {TICKS} AS is_partial FROM bars_")
@@ -245,33 +281,79 @@ def _listing(spark: SparkSession, sf: str) -> DataFrame:
     return series.listing(darvas_box().apply(event_bars(spark, sf)), 10, 300, 7).select("symbol", "bar", "close", "reference", "dir")
 
 
-@query("f_chart_series")
+_GAPS = ("reversal_bars_since", "reversal_is_bar", "reversal_direction")
+
+
+@query(
+    "f_chart_series",
+    f"WITH RECURSIVE {BARS}, {composite_parts(1.0, WINDOW)} SELECT symbol, "
+    + ", ".join(
+        f"CASE WHEN reversal_direction <> 0 THEN CAST({c} AS DOUBLE) ELSE 'NaN'::DOUBLE END AS {c}" if c in _GAPS else c if c in _EXACT else f"coalesce(round({'volume' if c == 'tick_volume' else c} + {NUDGE}, {_places(c)}) + 0.0, 'NaN'::DOUBLE) AS {c}" for c in _SHOWN
+    ) + " FROM geo_",
+)
 def _chart(spark: SparkSession, sf: str) -> DataFrame:
-    return series.chart_series(hma_atr_smooth(multiplier=1.0).apply(event_bars(spark, sf)))
+    return shown(series.chart_series(hma_atr_smooth(multiplier=1.0).apply(event_bars(spark, sf))), _SHOWN)
+
+
+_BASE_RULES = {
+    "prices_finite": "isfinite(open) AND isfinite(high) AND isfinite(low) AND isfinite(close)", "reference_finite": "isfinite(reference_price)", "regime_in_range": "reference_regime IN (-1, 0, 1)",
+    "distance_finite": "isfinite(distance_signed) AND distance_absolute >= 0", "scale_positive": "isfinite(scale) AND scale > 0", "normalized_not_negative": "isfinite(normalized_measurement) AND normalized_measurement >= 0",
+    "statistics_finite": " AND ".join(f"isfinite({c})" for c in _STATS[1:]),
+}
+_FINITE = "({0} IS NULL OR isfinite({0}))"
+_COMPOSITE_RULES = _BASE_RULES | {
+    "geometry_finite": " AND ".join(_FINITE.format(c) for c in _GEO if "alignment" not in c), "alignment_in_range": "hma_price_atrsmooth_alignment IN (-1, 0, 1)",
+    "segment_consistent": "(segment_id IS NULL) = (segment_start_index IS NULL) AND (segment_id IS NULL OR segment_age = bar_index - segment_start_index AND segment_regime = reference_regime) AND segment_transition IN (0, reference_regime)",
+    "segment_contract": f"NOT (reference_regime = 0 AND coalesce(max(abs(reference_regime)) OVER {UPTO}, 0) > 0)",
+}
+_BOX_RULES = _BASE_RULES | {"box_distance_finite": " AND ".join(_FINITE.format(c) for c in _BOXED[1:])}
+
+
+def quality_sql(rules: dict[str, str], source: str, *parts: str) -> str:
+    flags = ", ".join(f"({r}) AS {n}" for n, r in rules.items())
+    counts = " UNION ALL ".join(f"""SELECT '{n}' AS rule, count(*) AS "rows", count(CASE WHEN {n} IS NOT TRUE THEN 1 END) AS violations FROM flags_""" for n in rules)
+    return f"WITH RECURSIVE {', '.join(parts)}, flags_ AS (SELECT {flags} FROM {source}) {counts}"
 
 
-@query("f_quality", f"""WITH {BARS}, {RANGES} SELECT 'scale_positive' AS rule, count(*) AS "rows", count(CASE WHEN NOT scale > 0 THEN 1 END) AS violations FROM scaled_""")
+@query("f_quality", quality_sql({"scale_positive": _BASE_RULES["scale_positive"]}, "scaled_", BARS, RANGES))
 def _quality(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.quality(hma().apply(event_bars(spark, sf))).filter("rule = 'scale_positive'")
+    """One rule by itself."""
+    return checks.quality(hma().apply(event_bars(spark, sf)).select("symbol", "scale"))
 
 
-@query("f_quality_composite")
+@query("f_quality_composite", quality_sql(_COMPOSITE_RULES, "geo_", BARS, composite_parts(1.0, WINDOW)))
 def _quality_composite(spark: SparkSession, sf: str) -> DataFrame:
     """All rules of the composite plan."""
     return checks.quality(hma_atr_smooth(multiplier=1.0).apply(event_bars(spark, sf)))
 
 
-@query("f_quality_box")
+@query("f_quality_box", quality_sql(_BOX_RULES, "kept_", BARS, RANGES, BOX, DISTANCE, BOX_DISTANCE, statistics_parts("close", WINDOW, "boxed2_")))
 def _quality_box(spark: SparkSession, sf: str) -> DataFrame:
     """All rules of the box plan."""
     return checks.quality(darvas_box().apply(event_bars(spark, sf)))
 
 
-@query("f_all_features")
+USER_BARS = BARS.replace("event_type AS symbol", "CAST(user_id AS VARCHAR) AS symbol").replace("PARTITION BY event_type", "PARTITION BY user_id")
+
+
+@query("f_all_features", f"WITH RECURSIVE {USER_BARS}, {composite_parts(1.0, WINDOW)} SELECT symbol, ts AS timestamp, {shown_sql(_SHOWN)} FROM geo_")
 def _all(spark: SparkSession, sf: str) -> DataFrame:
     """Every column of the composite plan over bars of single users: many instruments."""
     t = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("symbol"), "ts", "event_id", "value")
-    return hma_atr_smooth(multiplier=1.0).apply(bar_ops.tick_bars(t, TICKS, order=("ts", "event_id"), price="value", spread=None))
+    df = hma_atr_smooth(multiplier=1.0).apply(bar_ops.tick_bars(t, TICKS, order=("ts", "event_id"), price="value", spread=None))
+    return shown(df, _SHOWN, "timestamp")
+
+
+_REPLAYED = [*LEVEL, *REVERSAL, *_SEG]
+
+
+@query("f_live_replay", f"WITH RECURSIVE {BARS}, {composite_parts(1.0, WINDOW)} SELECT symbol, bar_index, {shown_sql(_REPLAYED)} FROM geo_")
+def _live_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars published twice, the first time with other prices, and replayed message by message: the last row of each bar is what the batch gives."""
+    b = event_bars(spark, sf).drop("is_partial")
+    early = b.withColumns({"close": F.col("close") + 1, "high": F.col("high") + 2, "seq": F.lit(0)})
+    rows = replay_all(early.unionByName(b.withColumn("seq", F.lit(1))), hma_atr_smooth(multiplier=1.0))
+    return shown(rows.filter("status = 'updated'"), ["bar_index", *_REPLAYED])
 
 
 # The repairs that SQL can express.
