@@ -356,55 +356,6 @@ def _live_replay(spark: SparkSession, sf: str) -> DataFrame:
     return shown(rows.filter("status = 'updated'"), ["bar_index", *_REPLAYED])
 
 
-# The repairs that SQL can express.
-_BOOK = """q AS (SELECT session_id, symbol_id, entry_id, CAST(msg_seq AS BIGINT) AS seq, price, size, CASE lower(trim("update")) WHEN '0' THEN 'new' WHEN '1' THEN 'change' WHEN '2' THEN 'delete' ELSE lower(trim("update")) END AS u,
-  CASE WHEN lower(trim(side)) IN ('bid', '0') THEN 'bid' WHEN lower(trim(side)) IN ('ask', 'offer', '1') THEN 'ask' END AS side FROM eurusd_quotes WHERE entry_id IS NOT NULL AND msg_seq IS NOT NULL),
-f AS (SELECT session_id, symbol_id, max(seq) AS floor FROM q WHERE u = 'snapshot' GROUP BY ALL),
-e AS (SELECT session_id, symbol_id, side, entry_id, coalesce(max(CASE WHEN u IN ('snapshot', 'new') THEN seq END), -1) AS put, coalesce(max(CASE WHEN u = 'change' THEN seq END), -1) AS changed,
-  coalesce(max(CASE WHEN u = 'delete' THEN seq END), -1) AS gone FROM q GROUP BY ALL),
-b AS (SELECT e.*, put > gone AND put >= coalesce(f.floor, -1) AS live, greatest(put, changed, gone) AS msg_seq FROM e LEFT JOIN f ON e.session_id = f.session_id AND e.symbol_id = f.symbol_id)"""
-SQL["p1_found"] = f"WITH {_BOOK} SELECT session_id, symbol_id, side, entry_id, msg_seq FROM b WHERE live"
-SQL["p1_tombstones"] = f"WITH {_BOOK} SELECT session_id, symbol_id, side, entry_id, msg_seq FROM b WHERE NOT live"
-SQL["p1_state"] = f"""WITH {_BOOK} SELECT b.session_id, b.symbol_id, b.side, b.entry_id, any_value(b.msg_seq) AS msg_seq,
- max(CASE WHEN q.price IS NOT NULL THEN struct_pack(s := q.seq, v := q.price) END).v AS price, max(CASE WHEN q.size IS NOT NULL THEN struct_pack(s := q.seq, v := q.size) END).v AS size
- FROM b JOIN q ON b.session_id = q.session_id AND b.symbol_id = q.symbol_id AND b.side = q.side AND b.entry_id = q.entry_id AND q.seq >= b.put AND q.u <> 'delete' WHERE live GROUP BY ALL"""
-SQL["p5_found"] = """WITH r AS (SELECT t.symbol, CAST(i.grid_s AS BIGINT) AS g, epoch_us(ts_recv_utc) // (1000000 * CAST(i.grid_s AS BIGINT)) * i.grid_s AS slot_s FROM ticks t JOIN instruments i ON t.symbol = i.symbol
-  WHERE ts_recv_utc IS NOT NULL AND bid IS NOT NULL AND ask IS NOT NULL),
-s AS (SELECT DISTINCT symbol, g, slot_s FROM r), d AS (SELECT symbol, g, slot_s // 86400 AS day, min(slot_s) AS lo, max(slot_s) AS hi FROM s GROUP BY ALL),
-a AS (SELECT symbol, unnest(range(lo, hi + g, g)) AS slot_s FROM d)
-SELECT a.symbol, CAST(a.slot_s AS BIGINT) AS slot_s FROM a ANTI JOIN s ON a.symbol = s.symbol AND a.slot_s = s.slot_s"""
-# What of the grid SQL can say: the status of every period (support needs three observed periods that day, and a gap of 32 at most or a symbol of one grid seen in it), and observed readings.
-SQL["p5_periods"] = """WITH r AS (SELECT t.symbol, CAST(i.grid_s AS BIGINT) AS g, epoch_us(ts_recv_utc) AS us, bid, ask FROM ticks t JOIN instruments i ON t.symbol = i.symbol
-  WHERE ts_recv_utc IS NOT NULL AND bid IS NOT NULL AND ask IS NOT NULL),
-s AS (SELECT symbol, g, us // (1000000 * g) * g AS slot_s, max(struct_pack(us := us, bid := bid, ask := ask)) AS m FROM r GROUP BY ALL),
-o AS (SELECT *, lead(slot_s) OVER (PARTITION BY symbol, slot_s // 86400 ORDER BY slot_s) AS next_s, count(*) OVER (PARTITION BY symbol, slot_s // 86400) AS n FROM s),
-a AS (SELECT symbol, g, n, m, slot_s AS own, (coalesce(next_s, slot_s + g) - slot_s) // g AS gap, unnest(range(slot_s, coalesce(next_s, slot_s + g), g)) AS slot_s FROM o),
-c AS (SELECT DISTINCT g, slot_s FROM s)
-SELECT symbol, CAST(a.slot_s AS BIGINT) AS slot_s, CASE WHEN a.slot_s = own THEN 'observed' WHEN n >= 3 AND (gap <= 32 OR c.slot_s IS NOT NULL) THEN 'filled' ELSE 'unsupported' END AS status,
- CASE WHEN a.slot_s = own THEN m.bid END AS bid, CASE WHEN a.slot_s = own THEN m.ask END AS ask FROM a LEFT JOIN c ON a.g = c.g AND a.slot_s = c.slot_s"""
-SQL["p4_found"] = """WITH t0 AS (SELECT symbol, ts_recv_utc AS ts, min(bid) AS bid, min(spread) AS spread FROM ticks WHERE bid IS NOT NULL AND ts_recv_utc IS NOT NULL GROUP BY ALL),
-t1 AS (SELECT *, lag(bid) OVER w AS p1, lag(bid, 2) OVER w AS p2, lag(bid, 3) OVER w AS p3, lead(bid) OVER w AS n1, lead(bid, 2) OVER w AS n2, lead(bid, 3) OVER w AS n3 FROM t0 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-tu AS (SELECT symbol, 25 * median(round(abs(bid - p1), 9)) AS m, 15 * median(round(spread, 9)) AS s FROM t1 GROUP BY 1),
-t2 AS (SELECT t1.*, m, s, sum(CASE WHEN bid = p1 THEN 0 ELSE 1 END) OVER (PARTITION BY t1.symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM t1 JOIN tu ON t1.symbol = tu.symbol),
-t3 AS (SELECT *, count(*) OVER (PARTITION BY symbol, run) AS held FROM t2),
-t4 AS (SELECT symbol, ts FROM t3 WHERE bid <= 0 OR spread < 0 OR spread >= s OR held >= 20
- OR (abs(p1 - n1) < m AND abs(bid - p1) > m AND abs(bid - n1) > m)
- OR (abs(p1 - n2) < m AND abs(bid - p1) > m AND abs(bid - n2) > m AND abs(n1 - p1) > m AND abs(n1 - n2) > m)
- OR (abs(p2 - n1) < m AND abs(bid - p2) > m AND abs(bid - n1) > m AND abs(p1 - p2) > m AND abs(p1 - n1) > m)
- OR (abs(p1 - n3) < m AND abs(bid - p1) > m AND abs(bid - n3) > m AND abs(n1 - p1) > m AND abs(n1 - n3) > m AND abs(n2 - p1) > m AND abs(n2 - n3) > m)
- OR (abs(p2 - n2) < m AND abs(bid - p2) > m AND abs(bid - n2) > m AND abs(p1 - p2) > m AND abs(p1 - n2) > m AND abs(n1 - p2) > m AND abs(n1 - n2) > m)
- OR (abs(p3 - n1) < m AND abs(bid - p3) > m AND abs(bid - n1) > m AND abs(p1 - p3) > m AND abs(p1 - n1) > m AND abs(p2 - p3) > m AND abs(p2 - n1) > m)),
-b0 AS (SELECT dataset_id, bar_index, min("Open") AS o, min("High") AS h, min("Low") AS l, min("Close") AS c FROM bars GROUP BY ALL),
-b1 AS (SELECT *, lag(h) OVER w AS ph, lag(l) OVER w AS pl, lead(h) OVER w AS nh, lead(l) OVER w AS nl FROM b0 WINDOW w AS (PARTITION BY dataset_id ORDER BY bar_index)),
-bu AS (SELECT dataset_id, 15 * median(round(h - l, 9)) AS m FROM b1 GROUP BY 1),
-b2 AS (SELECT b1.*, m, sum(CASE WHEN h = ph AND l = pl THEN 0 ELSE 1 END) OVER (PARTITION BY b1.dataset_id ORDER BY bar_index ROWS UNBOUNDED PRECEDING) AS run FROM b1 JOIN bu ON b1.dataset_id = bu.dataset_id),
-b3 AS (SELECT *, count(*) OVER (PARTITION BY dataset_id, run) AS held FROM b2),
-b4 AS (SELECT dataset_id, bar_index FROM b3 WHERE h < greatest(l, o, c) OR l > least(h, o, c) OR l <= 0 OR held >= 10
- OR ((ph IS NOT NULL OR nh IS NOT NULL) AND ((coalesce(h - ph > m, true) AND coalesce(h - nh > m, true)) OR (coalesce(pl - l > m, true) AND coalesce(nl - l > m, true)))))
-SELECT 'ticks' AS source_table, row_id FROM ticks t JOIN t4 ON t.symbol = t4.symbol AND t.ts_recv_utc = t4.ts WHERE t.bid IS NOT NULL
-UNION ALL SELECT 'bars', row_id FROM bars b JOIN b4 ON b.dataset_id = b4.dataset_id AND b.bar_index = b4.bar_index"""
-
-
 @query("f_long_run")
 def _long_run(spark: SparkSession, sf: str) -> DataFrame:
     """The composite plan as exports use it (statistics of 252 closes) over a bar for every line item; symbols are line numbers."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom import feature_queries
+from barloom import feature_queries, repair_sql
 from barloom.common import cut, table
 from barloom.pipeline import change_feed, regrid, schema_drift, spikes, timestamps
 
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(feature_queries.SQL)
+    return feature_queries.SQL | repair_sql.SQL
