@@ -275,10 +275,10 @@ def _exits(spark: SparkSession, sf: str) -> DataFrame:
     return stages.box_exits(darvas_box().apply(event_bars(spark, sf)), Lane()).select("symbol", "bar_index", "is_box_exit")
 
 
-@query("f_listing", f"""WITH {BARS}, {RANGES}, {BOX}, {DISTANCE} SELECT symbol, bar_index AS bar, printf('%.5f', close) AS close, printf('%.5f', reference_price) AS reference, printf('%.5f', distance_signed) AS dir
- FROM dist_ WHERE bar_index BETWEEN 10 AND 300 AND bar_index % 7 = 0""")
+@query("f_listing", f"WITH RECURSIVE {BARS}, {RANGES}, {BOX}, {DISTANCE}, {statistics_parts('close', WINDOW, 'dist_')} SELECT symbol, bar_index AS bar, "
+       + ", ".join(f"printf('%.5f', {c}) AS {n}" for n, c in series.LISTING.items()) + " FROM kept_ WHERE bar_index BETWEEN 10 AND 300 AND bar_index % 7 = 0")
 def _listing(spark: SparkSession, sf: str) -> DataFrame:
-    return series.listing(darvas_box().apply(event_bars(spark, sf)), 10, 300, 7).select("symbol", "bar", "close", "reference", "dir")
+    return series.listing(darvas_box().apply(event_bars(spark, sf)), 10, 300, 7)
 
 
 _GAPS = ("reversal_bars_since", "reversal_is_bar", "reversal_direction")

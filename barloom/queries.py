@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom import feature_queries, repair_sql
+from barloom import feature_queries, repair_sql, source_queries
 from barloom.common import cut, table
 from barloom.pipeline import change_feed, regrid, schema_drift, spikes, timestamps
 
@@ -69,8 +69,8 @@ PIPELINE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return PIPELINE | feature_queries.QUERIES
+    return PIPELINE | feature_queries.QUERIES | source_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return feature_queries.SQL | repair_sql.SQL
+    return feature_queries.SQL | repair_sql.SQL | source_queries.SQL

@@ -7,6 +7,7 @@ import json
 import os
 from collections.abc import Iterator
 from dataclasses import replace
+from itertools import groupby
 from pathlib import Path
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import __version__
+from barloom.common import cut
 from barloom.operators import bars as bar_ops
 from barloom.plans import FeaturePlan, Mode, atr_smooth, darvas_box, hma, hma_atr_smooth
 from barloom.plans.features import BARS
@@ -62,22 +64,31 @@ def file_hash(path: str | os.PathLike) -> str:
 
 
 def rendered(features: DataFrame, columns: list[str]) -> DataFrame:
-    """bar_index and the line of each row. Columns `t_<name>` stand, to the letter, for the bar's own fields."""
+    """bar_index and the line of each row. Columns `t_<name>` stand, to the letter, for the bar's own fields.
+
+    Whole numbers, flags and texts are put together in the JVM; only doubles are written in Python, whose shortest form reads back as the same number.
+    """
     kinds = dict(features.dtypes)
     token = {"timestamp": "t_time", "open": "t_open", "high": "t_high", "low": "t_low", "close": "t_close", "tick_volume": "t_volume"}
     names = [token.get(c, c) if c in BARS and token.get(c) in kinds else c for c in columns]
-    form = [str if n.startswith("t_") else tokens.flag if kinds[n] == "boolean" else tokens.counter if kinds[n] in ("int", "bigint") else tokens.number if kinds[n] == "double" else str for n in names]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    text = lambda c: F.when(F.coalesce(F.col(c), F.lit(False)), "1").otherwise("0") if kinds[c] == "boolean" else F.coalesce(F.col(c).cast("string"), F.lit(""))
+    pieces, plain = [], []
+    for double, run in groupby(names, lambda c: kinds[c] == "double"):
+        run = list(run)
+        for part in [[c] for c in run] if double else [run]:
+            pieces.append((F.col(part[0]) if double else F.concat_ws(",", *map(text, part))).alias(f"p{len(pieces)}"))
+            plain.append(not double)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [[f(x) for x in b.column(i + 1).to_pylist()] for i, f in enumerate(form)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([",".join(r) for r in zip(*texts)], pa.string())], names=["bar_index", "line"])
+            texts = [b.column(i + 1).to_pylist() if is_text else list(map(tokens.number, b.column(i + 1).to_pylist())) for i, is_text in enumerate(plain)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(",".join, zip(*texts))), pa.string())], names=["bar_index", "line"])
 
-    return features.select(F.col("bar_index").alias("_at"), *names).mapInArrow(run, "bar_index int, line string")
+    return features.select(F.col("bar_index").alias("_at"), *pieces).mapInArrow(write, "bar_index int, line string")
 
 
 def write_lines(lines: DataFrame, header: str, path: Path) -> tuple[int, str]:
-    """Write the lines in order of bar_index as one file, which must not exist: UTF-8, LF. Rows and hash. Partitions are fetched one by one."""
+    """Write the lines, in their order, as one file, which must not exist: UTF-8, LF. Rows and hash. Partitions are fetched one by one."""
     h, n = hashlib.sha256(), 0
     with open(path, "xb") as f:
         def put(text: str) -> None:
@@ -86,7 +97,7 @@ def write_lines(lines: DataFrame, header: str, path: Path) -> tuple[int, str]:
             h.update(data)
 
         put(header)
-        for row in lines.repartitionByRange("bar_index").sortWithinPartitions("bar_index").select("line").toLocalIterator(prefetchPartitions=True):
+        for row in lines.select("line").toLocalIterator(prefetchPartitions=True):
             put(row[0])
             n += 1
     return n, h.hexdigest()
@@ -110,7 +121,8 @@ def export(spark: SparkSession, registry_path: str, dataset_id: str, mode: Mode,
         raise ExportError("the capture's hash is not the registered one")
     try:
         b = read_strict(spark, Path(capture).resolve().as_uri()).withColumn("symbol", F.lit(dataset_id))
-        b = bar_ops.numbered(b, "symbol", ["line_no"]).cache()
+        # No line is blank or left out, so that its number is that of its bar.
+        b = b.withColumn("bar_index", (F.col("line_no") - 2).cast("int")).cache()
         scan = bar_ops.scan_summary(b).collect()
         if not scan:
             raise ExportError("the capture has no rows")
@@ -127,6 +139,8 @@ def export(spark: SparkSession, registry_path: str, dataset_id: str, mode: Mode,
         rest = bar_ops.research_window(b, holdout=True).agg(F.min_by("t_time", "line_no").alias("start")).collect()[0]
         plan = replace(preset(mode), strict=True)
         rows = plan.apply(window).join(window.select("bar_index", *[c for c in window.columns if c.startswith("t_")]), "bar_index")
+        # Sorted by range first, then written in many tasks; read once for bounds and rows, so it is kept.
+        rows = cut(rows, "export").repartitionByRange("bar_index").sortWithinPartitions("bar_index")
         n, digest = write_lines(rendered(rows, plan.columns), ",".join(plan.columns), partial[0])
         if n != span["n"]:
             raise ExportError(f"{n} rows were written, not {span['n']}")

@@ -9,6 +9,9 @@ def number(x: float | None) -> str:
     """The shortest text that reads back as `x`; from 1E+15 and below 1E-05 in scientific form. A missing measurement is NaN."""
     if x is None or x != x:
         return "NaN"
+    text = repr(x)
+    if "e" not in text and "n" not in text and -1e15 < x < 1e15:
+        return text.removesuffix(".0")
     if x in (float("inf"), float("-inf")):
         return "Infinity" if x > 0 else "-Infinity"
     if x == 0:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Headers of the three capture schemas, and the names that a data frame's columns may have.
@@ -27,14 +27,18 @@ def detect_schema(header: str) -> str | None:
 
 
 def strict_lines(spark: SparkSession, path: str) -> DataFrame:
-    """`line_no` from 1 and `text` of a capture, ordered by file position; a file that is not UTF-8 fails.
+    """`line_no` from 1 and `text` of the lines of captures, and their `path`. A line that is not UTF-8 fails when it is read, an empty file at once.
 
-    A capture is one file that its hash pins as a whole, so it is read in one piece; many captures are read in parallel, one a task.
+    Files are split over tasks; lines are numbered by their place in their block and the lines of the blocks before it, a row a block.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    text = F.expr("CASE WHEN is_valid_utf8(CAST(content AS STRING)) THEN CAST(content AS STRING) ELSE raise_error(concat('not UTF-8: ', path)) END")
-    whole = files.select("path", F.split(F.regexp_replace(text, "\n$", ""), "\n").alias("lines"))
-    return whole.select("path", F.posexplode("lines").alias("n", "text")).select("path", (F.col("n") + 1).alias("line_no"), F.regexp_replace("text", "\r$", "").alias("text"))
+    empty = spark.read.format("binaryFile").load(path).select("path", "length").filter("length = 0").limit(1).collect()
+    if empty:
+        raise ValueError(f"no header: {empty[0]['path']} is empty")
+    raw = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = raw.groupBy("path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    text = F.expr("CASE WHEN is_valid_utf8(text) THEN text ELSE raise_error(concat('not UTF-8: ', path)) END")
+    return raw.join(blocks, ["path", "block"]).select("path", (F.col("id") - F.col("first") + F.col("before") + 1).cast("int").alias("line_no"), F.rtrim(text, F.lit("\r")).alias("text"))
 
 
 def _demand(ok: Column, value: Column, what: str) -> Column:
@@ -52,7 +56,7 @@ def read_strict(spark: SparkSession, path: str) -> DataFrame:
     names = F.create_map(*[F.lit(x) for n, h in HEADERS.items() for x in (h, n)])
     schema = F.element_at(names, F.col("text"))
     heads = heads.select("path", F.when(schema.isNotNull(), schema).otherwise(F.raise_error(F.concat(F.lit("unknown header: "), "text"))).alias("schema"), F.size(F.split("text", ",")).alias("width"))
-    rows = lines.filter("line_no > 1").join(F.broadcast(heads), "path")
+    rows = lines.filter("line_no > 1").join(heads, "path")
     fields = F.split("text", ",", -1)
     whole = (F.size(fields) == F.col("width")) & ~F.col("text").contains('"') & ~F.array_contains(fields, "")
     rows = rows.select("path", "schema", "line_no", _demand(whole, fields, "wrong, empty or quoted fields").alias("f"))
