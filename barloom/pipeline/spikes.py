@@ -5,6 +5,9 @@ times of day). Robust principal components part each matrix into a low-rank prof
 and a sparse rest. Normal behaviour is bounded by the spike limit, so that no jump beyond it can be taken for normal: the
 rest holds every cell with a spike in it, and the readings of those cells are then checked one by one.
 Stuck values and ranges have tests of their own.
+
+Where the limit is fixed, as in `flag_ticks` and `flag_bars`, the check decides and the profile only says where to look. `unusual_cells` lets the profile decide: what a source does
+every day at that time is normal, however large.
 """
 
 from __future__ import annotations
@@ -77,15 +80,32 @@ def _median(c: Column) -> Column:
     return F.percentile(F.round(c, 9), F.lit(0.5))
 
 
-def flag_ticks(ticks: DataFrame, moves: float = 25, longest: int = 3, stuck: int = 20, wide: float = 15, slots: int = 48) -> DataFrame:
-    """Symbol, time and reasons of implausible tick readings; `flagged_rows` gives their rows.
+def unusual_cells(cells: DataFrame, source: str, times: float = 8.0) -> DataFrame:
+    """Cells that are unusual for their time of day: source, day, slot, x, `normal` (the low-rank profile) and `excess` over it.
 
-    Readings are ordered by ts_recv_utc per symbol; rows with null symbol, time or bid are no readings, copies (same symbol and time) count once,
-    the least bid and spread standing for a time with several. Reasons: bid not above zero (range); up to `longest` readings
-    more than `moves` usual moves from both neighbours, which are closer than that to each other (spike); `stuck` or more successive readings with
-    one bid (stuck); spread negative or at least `wide` medians (spread). A null spread is not tested; NaN counts as null.
-    The usual move is the symbol's median absolute change; a symbol with one reading has none and no spikes.
+    A cell counts when its excess is `times` robust deviations of its matrix's excesses, and at least a doubling of the jump. What a source does every day at that time is its profile and no excess;
+    the same jump at another time is one. `cells` as for `sparse_cells`; nulls and NaN are no cells.
     """
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        days, r = np.unique(pdf["day"].to_numpy(), return_inverse=True)
+        slots, c = np.unique(pdf["slot"].to_numpy(), return_inverse=True)
+        m, seen = np.zeros((len(days), len(slots))), np.zeros((len(days), len(slots)), bool)
+        m[r, c], seen[r, c] = pdf["x"].to_numpy(), True
+        low, rest = robust_components(m, seen, np.inf)
+        values = rest[seen]
+        usual = 1.4826 * np.median(np.abs(values - np.median(values)))
+        i, j = np.nonzero(seen & (rest > max(times * usual, np.log(2.0))))
+        return pd.DataFrame({source: pdf[source].iloc[0], "day": days[i], "slot": slots[j], "x": m[i, j], "normal": low[i, j], "excess": rest[i, j]})
+
+    kind = dict(cells.dtypes)[source]
+    known = cells.filter(F.col(source).isNotNull() & F.col("day").isNotNull() & F.col("slot").isNotNull() & F.col("x").isNotNull() & ~F.isnan("x"))
+    blocks = known.withColumn("block", F.floor(F.col("day") / ROWS)).groupBy(source, "block")
+    return blocks.applyInPandas(part, f"{source} {kind}, day long, slot int, x double, normal double, excess double")
+
+
+def _tick_readings(ticks: DataFrame, longest: int, slots: int) -> tuple[DataFrame, DataFrame]:
+    """Readings with their neighbours and their symbol's usual move, and the cells of daily profiles: the largest jump of each slot in usual moves."""
     day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)
     num = lambda c: F.when(~F.isnan(c), F.col(c))
     r = (
@@ -100,9 +120,28 @@ def flag_ticks(ticks: DataFrame, moves: float = 25, longest: int = 3, stuck: int
     before = F.col("nb_prev.bid")
     usual = cut(r.groupBy("symbol").agg(_median(F.abs(F.col("bid") - before)).alias("usual"), _median(F.col("spread")).alias("usual_spread")), "usual")
     r = r.join(usual, "symbol")
-
     jump = F.coalesce(F.abs(F.col("bid") - before), F.abs(F.col("bid") - F.col("nb_next1.bid")))
-    cells = r.groupBy("symbol", "day", "slot").agg(F.max(_in_units(jump, F.col("usual"))).alias("x")).dropna()
+    return r, r.groupBy("symbol", "day", "slot").agg(F.max(_in_units(jump, F.col("usual"))).alias("x")).dropna()
+
+
+def unusual_tick_hours(ticks: DataFrame, times: float = 8.0, slots: int = 48) -> DataFrame:
+    """Stretches of a day (`slots` a day) in which a symbol's bid jumped more than it does at that time on other days: symbol, slot_us (start), jump and normal jump in usual moves."""
+    found = unusual_cells(_tick_readings(ticks, 1, slots)[1], "symbol", times)
+    start = (F.col("day") * 86_400 + F.col("slot") * (86_400 // slots)) * 1_000_000
+    return found.select("symbol", start.alias("slot_us"), F.expm1("x").alias("jump"), F.expm1("normal").alias("normal_jump"))
+
+
+def flag_ticks(ticks: DataFrame, moves: float = 25, longest: int = 3, stuck: int = 20, wide: float = 15, slots: int = 48) -> DataFrame:
+    """Symbol, time and reasons of implausible tick readings; `flagged_rows` gives their rows.
+
+    Readings are ordered by ts_recv_utc per symbol; rows with null symbol, time or bid are no readings, copies (same symbol and time) count once,
+    the least bid and spread standing for a time with several. Reasons: bid not above zero (range); up to `longest` readings
+    more than `moves` usual moves from both neighbours, which are closer than that to each other (spike); `stuck` or more successive readings with
+    one bid (stuck); spread negative or at least `wide` medians (spread). A null spread is not tested; NaN counts as null.
+    The usual move is the symbol's median absolute change; a symbol with one reading has none and no spikes.
+    """
+    r, cells = _tick_readings(ticks, longest, slots)
+    before = F.col("nb_prev.bid")
     odd = sparse_cells(cells, "symbol", moves)
 
     # A run of spikes is found at its first reading, the one that jumps away from the reading before.

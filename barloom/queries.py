@@ -39,6 +39,12 @@ def p3_bars(spark: SparkSession, sf: str) -> DataFrame:
     return schema_drift.bar_table(table(spark, sf, "capture_lines"), table(spark, sf, "registry"), table(spark, sf, "recorders"))
 
 
+def p3_bar_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The bar table with the number of remaining fields and the failed columns as text, as they are compared."""
+    rows = p3_bars(spark, sf)
+    return rows.select(*[c for c in rows.columns if c not in ("others", "failed")], F.size("others").alias("n_others"), F.concat_ws(",", "failed").alias("failed"))
+
+
 def p3_types(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "capture_lines")
     heads = cut(schema_drift.headers(lines), "headers")
@@ -49,6 +55,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return spikes.implausible(table(spark, sf, "ticks"), table(spark, sf, "bars")).select("source_table", "row_id")
 
 
+def p4_unusual(spark: SparkSession, sf: str) -> DataFrame:
+    """Half hours in which a symbol moved more than its daily profile has it."""
+    return spikes.unusual_tick_hours(table(spark, sf, "ticks"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return regrid.regular_grid(table(spark, sf, "ticks"), table(spark, sf, "instruments")).filter("status <> 'observed'").select("symbol", "slot_s")
 
@@ -64,7 +75,7 @@ def p5_periods(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PIPELINE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_state, p1_tombstones, p2_found, p3_found, p3_bars, p3_types, p4_found, p5_found, p5_grid, p5_periods)
+    f.__name__: f for f in (p1_found, p1_state, p1_tombstones, p2_found, p3_found, p3_bars, p3_bar_values, p3_types, p4_found, p4_unusual, p5_found, p5_grid, p5_periods)
 }
 
 

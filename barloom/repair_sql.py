@@ -72,23 +72,34 @@ typed AS (SELECT * EXCLUDE (n), CASE WHEN list_max(n) > 0 THEN ['text', 'time',
 SQL["p3_types"] = f"WITH {_LINES} SELECT filename, path, text, time, boolean, decimal, integer, empty, type FROM typed"
 
 # Times in captures are ISO texts in UTC or plain numbers. Two rounds of mutual best choose among fields that agree.
-SQL["p3_found"] = f"""WITH {_LINES},
-versions AS (SELECT filename, min(dataset_id) AS dataset_id, min(list_transform(list_filter(string_split(regexp_replace(dataset_version, '[^0-9.]+', '', 'g'), '.'), lambda x: x <> ''), lambda x: TRY_CAST(x AS INTEGER))) AS version
+def _instant(x: str) -> str:
+    return (
+        f"CASE WHEN regexp_full_match({x}, '\\d{{12,13}}') THEN CAST({x} AS BIGINT) * 1000 WHEN regexp_full_match({x}, '\\d{{15,16}}') THEN CAST({x} AS BIGINT)"
+        f" WHEN regexp_full_match({x}, '\\d{{9,10}}(\\.\\d+)?') THEN CAST(CAST({x} AS DECIMAL(30, 6)) * 1000000 AS BIGINT)"
+        f" ELSE epoch_us(TRY_CAST({x}[1:10] || ' ' || {x}[12:19] AS TIMESTAMP)) + coalesce(TRY_CAST(rpad(regexp_extract({x}, '\\.(\\d{{1,6}})', 1), 6, '0') AS BIGINT), 0) END"
+    )
+
+
+def _number(x: str) -> str:
+    return f"TRY_CAST(nullif(regexp_extract({x}, '^[^\\d.+-]{{0,3}}\\s*([+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?)\\s*[A-Za-z%]{{0,4}}$', 1), '') AS DOUBLE)"
+
+
+_DRIFT = f"""versions AS (SELECT filename, min(dataset_id) AS dataset_id, min(list_transform(list_filter(string_split(regexp_replace(dataset_version, '[^0-9.]+', '', 'g'), '.'), lambda x: x <> ''), lambda x: TRY_CAST(x AS INTEGER))) AS version
  FROM registry WHERE filename IS NOT NULL AND dataset_id IS NOT NULL GROUP BY 1),
 files AS (SELECT dataset_id, v.filename, fields, lag(v.filename) OVER w AS before, lag(fields) OVER w AS old_fields FROM heads h JOIN versions v ON h.filename = v.filename WINDOW w AS (PARTITION BY dataset_id ORDER BY version NULLS FIRST, v.filename)),
 pairs AS (SELECT *, list_filter(old_fields, lambda x: NOT list_contains(fields, x)) AS gone, list_filter(fields, lambda x: NOT list_contains(old_fields, x)) AS new FROM files WHERE before IS NOT NULL),
 clocks AS (SELECT filename, line_no, arg_min(x, place) AS x FROM cells WHERE kind = 'time' OR regexp_full_match(x, '\\d{{12,16}}|\\d{{9,10}}\\.\\d+|1\\d{{9}}') GROUP BY ALL),
-bars AS (SELECT filename, line_no, CASE WHEN regexp_full_match(x, '\\d{{12,13}}') THEN CAST(x AS BIGINT) * 1000 WHEN regexp_full_match(x, '\\d{{15,16}}') THEN CAST(x AS BIGINT) WHEN regexp_full_match(x, '\\d{{9,10}}(\\.\\d+)?') THEN CAST(CAST(x AS DECIMAL(30, 6)) * 1000000 AS BIGINT)
- ELSE epoch_us(TRY_CAST(x[1:10] || ' ' || x[12:19] AS TIMESTAMP)) + coalesce(TRY_CAST(rpad(regexp_extract(x, '\\.(\\d{{1,6}})', 1), 6, '0') AS BIGINT), 0) END AS bar FROM clocks),
+bars AS (SELECT filename, line_no, {_instant('x')} AS bar FROM clocks),
 sides AS (SELECT filename, filename AS pair, true AS later, unnest(new) AS path FROM pairs WHERE len(gone) > 0 AND len(new) > 0 UNION ALL SELECT before, filename, false, unnest(gone) FROM pairs WHERE len(gone) > 0 AND len(new) > 0),
 said AS (SELECT DISTINCT pair, later, bar, s.path, CASE WHEN kind = 'time' OR regexp_full_match(x, '\\d{{12,16}}') THEN CAST(bar AS VARCHAR)
- ELSE coalesce(CASE WHEN kind <> 'boolean' THEN CAST(TRY_CAST(nullif(regexp_extract(x, '^[^\\d.+-]{{0,3}}\\s*([+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?)\\s*[A-Za-z%]{{0,4}}$', 1), '') AS DOUBLE) AS VARCHAR) END, lower(x)) END AS v
+ ELSE coalesce(CASE WHEN kind <> 'boolean' THEN CAST({_number('x')} AS VARCHAR) END, lower(x)) END AS v
  FROM bars b JOIN sides s ON b.filename = s.filename JOIN cells c ON c.filename = b.filename AND c.line_no = b.line_no AND c.path = s.path WHERE bar IS NOT NULL AND x <> ''),
 agree AS (SELECT a.pair, b.path AS old_name, a.path AS new_name, count(*) AS n FROM said a JOIN said b ON a.pair = b.pair AND a.bar = b.bar AND a.later AND NOT b.later GROUP BY ALL HAVING count(*) >= 2 AND bool_and(a.v = b.v)),
 r1 AS (SELECT * FROM agree QUALIFY row_number() OVER (PARTITION BY pair, old_name ORDER BY n DESC, old_name, new_name) = 1 AND row_number() OVER (PARTITION BY pair, new_name ORDER BY n DESC, old_name, new_name) = 1),
 left_ AS (SELECT a.* FROM agree a WHERE NOT EXISTS (SELECT 1 FROM r1 WHERE r1.pair = a.pair AND (r1.old_name = a.old_name OR r1.new_name = a.new_name))),
 r2 AS (SELECT * FROM left_ QUALIFY row_number() OVER (PARTITION BY pair, old_name ORDER BY n DESC, old_name, new_name) = 1 AND row_number() OVER (PARTITION BY pair, new_name ORDER BY n DESC, old_name, new_name) = 1),
-renamed AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2),
+renamed AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2)"""
+SQL["p3_found"] = f"""WITH {_LINES}, {_DRIFT},
 ends AS (SELECT dataset_id, filename, unnest(new) AS name, true AS later FROM pairs UNION ALL SELECT dataset_id, filename, unnest(gone), false FROM pairs)
 SELECT dataset_id, filename, CASE WHEN later THEN 'added' ELSE 'removed' END AS change, CASE WHEN later THEN '' ELSE name END AS old_name, CASE WHEN later THEN name ELSE '' END AS new_name FROM ends e
  WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.pair = e.filename AND CASE WHEN e.later THEN r.new_name ELSE r.old_name END = e.name)
@@ -97,6 +108,24 @@ UNION ALL SELECT p.dataset_id, p.filename, 'retyped', a.path, a.path FROM pairs
 UNION ALL SELECT DISTINCT g.dataset_id, g.filename, 'mislabelled', lower(trim(source_schema)), '' FROM registry g JOIN heads h ON g.filename = h.filename WHERE list_sort(h.fields) <> list_sort(CASE lower(trim(source_schema))
  WHEN 'recorder_v1' THEN ['opentimeutc', 'open', 'high', 'low', 'close', 'tickvolume'] WHEN 'recorder_v1_1' THEN ['opentimeutc', 'open', 'high', 'low', 'close', 'tickvolume', 'spread'] WHEN 'fixture_v1' THEN ['datetime', 'open', 'high', 'low', 'close', 'volume'] END)"""
 
+# Fields under their first names, followed forward from the version that begins them.
+_TEXTS = ", ".join(f"max(CASE WHEN called = '{n}' THEN x END) AS {n}" for n in ("open", "high", "low", "close", "spread", "tickvolume", "volume", "opentimeutc", "datetime"))
+_NAMED = ["open", "high", "low", "close", "volume", "spread"]
+SQL["p3_bar_values"] = f"""WITH RECURSIVE {_LINES}, {_DRIFT},
+placed AS (SELECT v.dataset_id, h.filename, fields, row_number() OVER (PARTITION BY dataset_id ORDER BY version NULLS FIRST, h.filename) AS k FROM heads h JOIN versions v ON h.filename = v.filename),
+nodes AS (SELECT dataset_id, filename, k, unnest(fields) AS path FROM placed),
+back AS (SELECT n.*, coalesce(r.old_name, n.path) AS q FROM nodes n LEFT JOIN renamed r ON r.pair = n.filename AND r.new_name = n.path),
+lineage(dataset_id, k, filename, path, name) AS (SELECT b.dataset_id, b.k, b.filename, b.path, b.path FROM back b WHERE NOT EXISTS (SELECT 1 FROM nodes p WHERE p.dataset_id = b.dataset_id AND p.k = b.k - 1 AND p.path = b.q)
+ UNION ALL SELECT b.dataset_id, b.k, b.filename, b.path, l.name FROM lineage l JOIN back b ON b.dataset_id = l.dataset_id AND b.k = l.k + 1 AND b.q = l.path),
+first_ AS (SELECT c.filename, c.line_no, c.place, x, coalesce(l.name, c.path) AS name FROM cells c LEFT JOIN lineage l ON l.filename = c.filename AND l.path = c.path),
+called_ AS (SELECT *, CASE WHEN place = min(place) OVER (PARTITION BY filename, line_no, name) THEN name ELSE name || '#' || place END AS called FROM (SELECT DISTINCT * FROM first_)),
+wide AS (SELECT filename, line_no, {_TEXTS}, count(DISTINCT called) FILTER (called NOT IN ('open', 'high', 'low', 'close', 'spread', 'tickvolume', 'volume', 'opentimeutc', 'datetime')) AS n_others FROM called_ GROUP BY ALL),
+texts AS (SELECT filename, line_no, n_others, nullif(coalesce(opentimeutc, datetime), '') AS t, nullif(open, '') AS open, nullif(high, '') AS high, nullif(low, '') AS low, nullif(close, '') AS close, nullif(coalesce(tickvolume, volume), '') AS volume,
+ nullif(spread, '') AS spread FROM wide)
+SELECT v.dataset_id, t.filename, t.line_no, {_instant('t.t')} AS time_us, {', '.join(f"{_number('t.' + c)} AS {c}" for c in _NAMED)}, CAST(n_others AS INTEGER) AS n_others,
+ array_to_string(list_filter([CASE WHEN t.t IS NOT NULL AND {_instant('t.t')} IS NULL THEN 'time' END, {', '.join(f"CASE WHEN t.{c} IS NOT NULL AND {_number('t.' + c)} IS NULL THEN '{c}' END" for c in _NAMED)}], lambda x: x IS NOT NULL), ',') AS failed
+ FROM texts t LEFT JOIN versions v ON v.filename = t.filename"""
+
 # The notations one by one; wall times by the zones of the embedded calendar library. Abbreviations are those of the recorders' zones.
 _CLOCK = r"(?:[Tt ]\s*(?P<h>\d{1,2}):(?P<n>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d+))?)?(?:\s*(?P<p>[AaPp][Mm]))?(?:\s*(?P<z>[+-]\d{2}:?\d{2}|[A-Za-z]{1,5}))?(?:\s*\[(?P<r>[A-Za-z_/+0-9-]+)\])?)?"
 _FORMS = [

@@ -18,6 +18,7 @@ from barloom.plans import Mode
 from barloom.sinks.export import export, file_hash
 from barloom.sources import fix
 from barloom.sources.captures import read_permissive, read_strict
+from barloom.sources.synthetic import capture_fields
 
 QUERIES: dict[str, fq.Query] = {}
 SQL: dict[str, str] = {}
@@ -32,17 +33,12 @@ def query(name: str, sql: str):
     return add
 
 
-def _capture_fields(bars: DataFrame) -> list:
-    token = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0Z'")
-    return [token.alias("OpenTimeUtc"), *[F.col(c).alias(n) for c, n in (("open", "Open"), ("high", "High"), ("low", "Low"), ("close", "Close"), ("volume", "TickVolume"))]]
-
-
 def _captures(spark: SparkSession, sf: str) -> str:
     """The event bars as strict captures of PART bars each; the pattern of their paths."""
     b = fq.event_bars(spark, sf).withColumn("part", F.floor(F.col("bar_index") / PART))
     folder = f"{scratch_dir(spark)}/captures-{uuid.uuid4().hex}"
     # One file a capture: its bars meet in one task, in order.
-    rows = b.repartition("symbol", "part").sortWithinPartitions("symbol", "part", "bar_index").select("symbol", "part", *_capture_fields(b))
+    rows = b.repartition("symbol", "part").sortWithinPartitions("symbol", "part", "bar_index").select("symbol", "part", *capture_fields())
     rows.write.partitionBy("symbol", "part").option("header", True).csv(folder)
     return f"{folder}/*/*/*.csv"
 
@@ -116,7 +112,7 @@ def _export(spark: SparkSession, sf: str) -> DataFrame:
     folder = f"{scratch_dir(spark)}/export-{uuid.uuid4().hex}"
     local = folder.removeprefix("file://").removeprefix("file:")
     # A capture is one file by definition.
-    b.orderBy("bar_index").select(*_capture_fields(b)).coalesce(1).write.option("header", True).csv(f"{folder}/capture")
+    b.orderBy("bar_index").select(*capture_fields()).coalesce(1).write.option("header", True).csv(f"{folder}/capture")
     (capture,) = glob.glob(f"{local}/capture/*.csv")
     first, last = (r["t"] for r in b.agg(F.min("ts").alias("a"), F.max("ts").alias("z")).select(F.explode(F.array("a", "z")).alias("ts")).select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0Z'").alias("t")).collect())
     entry = {"dataset_id": "orders", "dataset_version": "1", "filename": os.path.basename(capture), "source_sha256": file_hash(capture), "source_schema": "recorder_v1", "first_timestamp": first, "last_timestamp": last, "partition_policy": "first_calendar_year_only"}

@@ -26,3 +26,14 @@ def ramp(spark: SparkSession, n: int, start: float = 100.0, step: float = 2.0, s
 
 def flat(spark: SparkSession, n: int, price: float = 100.0, symbol: str = "flat") -> DataFrame:
     return _bars(spark.range(n), F.lit(float(price)), 0.0, 100.0, symbol)
+
+
+def minute_of(index: str) -> Column:
+    """Times of one-minute bars from the first of January 2020, for which the first calendar year has 527,040."""
+    return F.timestamp_seconds(F.lit(1_577_836_800) + F.col(index) * 60)
+
+
+def capture_fields() -> list[Column]:
+    """Bars as the fields of a strict capture, times with seven places."""
+    token = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0Z'")
+    return [token.alias("OpenTimeUtc"), *[F.col(c).alias(n) for c, n in (("open", "Open"), ("high", "High"), ("low", "Low"), ("close", "Close"), ("volume", "TickVolume"))]]

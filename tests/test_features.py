@@ -10,7 +10,6 @@ from barloom.operators import checks, stages
 from barloom.operators.levels import AtrSmooth, DarvasBox, Hma, trailing_step
 from barloom.plans import FeaturePlan, atr_smooth, darvas_box, hma, hma_atr_smooth
 from barloom.plans.features import latest
-from series import SERIES
 
 SCHEMA = "symbol string, bar_index int, ts timestamp, open double, high double, low double, close double, volume double"
 
@@ -46,6 +45,7 @@ def test_known_dataset(spark):
     c = [100.0 + 2 * i for i in range(20)]
     df = atr_smooth(14, 5.1, 20, statistics_window=20).apply(bars(spark, c, [x + 0.5 for x in c], [x - 0.5 for x in c]))
     r = df.filter("bar_index = 19").collect()[0]
+    # A ramp of two a bar, to eight places.
     for k, v in {
         "reference_price": 122.37724421291009, "distance_signed": 15.62275578708991, "scale": 2.5, "normalized_measurement": 6.249102314835964, "statistics_mean": 119,
         "statistics_median": 119, "statistics_variance": 140, "statistics_standard_deviation": math.sqrt(140), "statistics_mad": 10, "statistics_minimum": 100, "statistics_maximum": 138,
@@ -55,55 +55,102 @@ def test_known_dataset(spark):
     assert math.isclose(first["reference_price"], 102.55, abs_tol=1e-9)
 
 
-@pytest.mark.parametrize("part", [None, 8])
-def test_boxes(spark, part):
-    b = bars(spark, SERIES["F1 Close"], SERIES["F1 High"], SERIES["F1 Low"])
-    plan = darvas_box(5, scale_period=2, statistics_window=3, part_bars=part, mean_window=4)
-    df = plan.apply(b)
-    close_to(column(df, "reference_price"), SERIES["F1 ExpectedPrice"], 1e-10)
-    assert column(df, "reference_regime") == SERIES["F1 ExpectedRegime"]
-    assert column(df, "darvas_has_box") == [t is not None for t in SERIES["F1 Top"]]
-    b2 = bars(spark, SERIES["F2 Close"], SERIES["F2 High"], SERIES["F2 Low"])
-    assert column(plan.apply(b2), "reference_regime") == SERIES["F2 ExpectedRegime"]
-    f3 = column(plan.apply(bars(spark, SERIES["F3 Close"], SERIES["F3 High"], SERIES["F3 Low"])), "reference_regime")
-    assert (f3[15], f3[16]) == (1, 0)
-    f4 = column(plan.apply(bars(spark, SERIES["F4 Close"], SERIES["F4 High"], SERIES["F4 Low"])), "reference_regime")
-    assert [f4[i] for i in (16, 17, 19, 20)] == [1, 0, -1, 0]
-
-
-@pytest.mark.parametrize("part", [None, 24])
-def test_hull_average(spark, part):
-    lane = Lane(part_bars=part)
-    for name in ("Ramp", "Random"):
-        level = Hma(16)
-        df = lane.open(bars(spark, SERIES[f"{name}Close"]), level.halo)
+def brute_boxes(high, low, close, n):
+    """Price, regime and whether there is a box, bar by bar, from the rule as it is stated."""
+    out, broke, since, box = [], None, None, None
+    for i in range(len(close)):
+        if i >= n and high[i] > max(high[i - n : i]):
+            broke, since = high[i], i
+        falling = i >= n - 2 and max(high[i - n + 3 : i + 1]) < max(high[i - n + 2 : i + 1])
+        if falling and since is not None and i - since == n - 2:
+            box = (broke, min(low[i - n + 1 : i + 1]))
+        if box is None:
+            out.append((close[i], 0, False))
+        else:
+            out.append(((box[0] + box[1]) / 2, 1 if close[i] > box[0] else -1 if close[i] < box[1] else 0, True))
+    return out
+
+
+@pytest.mark.parametrize(("part", "n", "seed"), [(None, 5, 11), (24, 5, 11), (None, 3, 12), (None, 7, 13)])
+def test_boxes(spark, part, n, seed):
+    c = [round(x, 1) for x in walk(160, seed)]  # coarse prices, so that highs tie
+    h, low = [x + 0.5 + (i % 3) / 2 for i, x in enumerate(c)], [x - 0.5 - (i % 2) / 2 for i, x in enumerate(c)]
+    want = brute_boxes(h, low, c, n)
+    assert len({r for _, r, _ in want}) == 3 and len({p for p, _, there in want if there}) > 3
+    df = darvas_box(n, scale_period=2, statistics_window=3, part_bars=part, mean_window=4).apply(bars(spark, c, h, low))
+    close_to(column(df, "reference_price"), [p for p, _, _ in want], 1e-10)
+    assert column(df, "reference_regime") == [r for _, r, _ in want] and column(df, "darvas_has_box") == [there for _, _, there in want]
+
+
+def test_the_edges_of_a_box_are_inside(spark):
+    # A break at bar 4, confirmed at bar 5 as highs fall: the box is 20 to 8. Closes on its edges are inside, beyond them outside (whatever the highs, which break at the last bar only).
+    h = [10.0, 10.0, 10.0, 10.0, 20.0, 15.0, 15.0, 15.0, 15.0, 15.0, 21.0]
+    low = [9.0, 9.0, 9.0, 8.0, 9.0, 9.0, 9.0, 8.0, 9.0, 7.0, 9.0]
+    c = [9.5, 9.5, 9.5, 9.5, 12.0, 12.0, 12.0, 8.0, 20.0, 7.5, 20.5]
+    df = darvas_box(3).apply(bars(spark, c, h, low))
+    assert column(df, "darvas_has_box") == [False] * 5 + [True] * 6
+    assert column(df, "reference_regime") == [0] * 9 + [-1, 1]
+    assert column(df, "darvas_signed_closing_distance")[5:] == [0.0, 0.0, 0.0, 0.0, -0.5, 0.5]
+
+
+def brute_hull(c, n):
+    def mean(x, k):
+        return [None if i < k - 1 or any(v is None for v in x[i - k + 1 : i + 1]) else sum(v * (j + 1) for j, v in enumerate(x[i - k + 1 : i + 1])) / (k * (k + 1) / 2) for i in range(len(x))]
+
+    fast, slow = mean(c, n // 2), mean(c, n)
+    return mean([None if b is None else 2 * a - b for a, b in zip(fast, slow)], math.isqrt(n))
+
+
+@pytest.mark.parametrize(("part", "n"), [(None, 16), (24, 16), (None, 9), (None, 30)])
+def test_hull_average(spark, part, n):
+    lane, level = Lane(part_bars=part), Hma(n)
+    for c in (walk(70, 21), [3.5 * i for i in range(50)]):
+        df = lane.open(bars(spark, c), level.halo)
         df = level.carried(lane.close(level.bounded(df, lane)), lane)
-        close_to(column(df, "hma"), SERIES[f"{name}Expected"], 1e-12)
-        assert column(df, "reference_price")[:18] == SERIES[f"{name}Close"][:18]
-    flat = hma(16).apply(bars(spark, [100.0] * 40))
-    assert column(flat, "reference_price") == [100.0] * 40 and set(column(flat, "reference_regime")) == {0}
+        want = brute_hull(c, n)
+        first = n + math.isqrt(n) - 2
+        assert want[first - 1] is None and want[first] is not None
+        close_to(column(df, "hma"), want, 1e-12)
+        assert column(df, "reference_price")[:first] == c[:first]
+    flat = hma(n).apply(bars(spark, [100.0] * 60))
+    assert column(flat, "reference_price") == [100.0] * 60 and set(column(flat, "reference_regime")) == {0}
+
+
+def brute_segments(regime):
+    """id, start, age, transition, reversal, direction and bars since, bar by bar."""
+    out, n, start, turn, way = [], -1, None, None, 0
+    for i, r in enumerate(regime):
+        before = regime[i - 1] if i else 0
+        begins = r != 0 and r != before
+        if begins:
+            n, start = n + 1, i
+        turned = i > 0 and r != before
+        if turned:
+            turn, way = i, 1 if r > before else -1
+        out.append((n if r else None, start if r else None, i - start if r else None, r if begins and before else 0, turned, way, None if turn is None else i - turn))
+    return out
 
 
 @pytest.mark.parametrize("part", [None, 4])
 def test_segments(spark, part):
-    regime = [0, 0, 1, 1, 1, 1, -1, -1, -1, -1, 1, 1, 1]
+    r = random.Random(9)
+    regime = [0] * 3 + [s for _ in range(8) for s in [r.choice([-1, 1])] * r.randrange(1, 6)]
     lane = Lane(part_bars=part)
     df = spark.createDataFrame([("X", i, r) for i, r in enumerate(regime)], "symbol string, bar_index int, reference_regime int").withColumn("distance_signed", F.lit(0.0))
     df = lane.close(lane.open(df, 0))
     df = stages.segments(stages.reversals(df, lane), lane)
-    assert column(df, "segment_id") == [None, None, 0, 0, 0, 0, 1, 1, 1, 1, 2, 2, 2]
-    assert column(df, "segment_start_index") == [None, None, 2, 2, 2, 2, 6, 6, 6, 6, 10, 10, 10]
-    assert column(df, "segment_age") == [None, None, 0, 1, 2, 3, 0, 1, 2, 3, 0, 1, 2]
-    assert column(df, "segment_transition") == [0, 0, 0, 0, 0, 0, -1, 0, 0, 0, 1, 0, 0]
-    assert [i for i, x in enumerate(column(df, "reversal_is_bar")) if x] == [2, 6, 10]
-    assert column(df, "reversal_direction") == [0, 0, 1, 1, 1, 1, -1, -1, -1, -1, 1, 1, 1]
-    assert column(df, "reversal_bars_since") == [None, None, 0, 1, 2, 3, 0, 1, 2, 3, 0, 1, 2]
+    names = ["segment_id", "segment_start_index", "segment_age", "segment_transition", "reversal_is_bar", "reversal_direction", "reversal_bars_since"]
+    for name, want in zip(names, zip(*brute_segments(regime))):
+        assert column(df, name) == list(want), name
 
 
 def test_moments(spark):
-    r = hma(2, statistics_window=20).apply(bars(spark, [1.0, 2, 4, 8, 16])).filter("bar_index = 4").collect()[0]
-    assert math.isclose(r["statistics_skewness"], 1.3253147098134046, abs_tol=1e-11)
-    assert math.isclose(r["statistics_kurtosis"], 1.3037634408602106, abs_tol=1e-11)
+    x = [2.0, 3.0, 5.0, 11.0, 12.5, 30.0]
+    n, mean = len(x), sum(x) / len(x)
+    m2, m3, m4 = (sum((v - mean) ** k for v in x) / n for k in (2, 3, 4))
+    r = hma(2, statistics_window=20).apply(bars(spark, x)).filter("bar_index = 5").collect()[0]
+    assert math.isclose(r["statistics_skewness"], m3 / m2**1.5 * math.sqrt(n * (n - 1)) / (n - 2), abs_tol=1e-11)
+    assert math.isclose(r["statistics_kurtosis"], ((n + 1) * (m4 / m2**2 - 3) + 6) * (n - 1) / ((n - 2) * (n - 3)), abs_tol=1e-11)
     flat = hma(2).apply(bars(spark, [0.1] * 30)).filter("bar_index = 29").collect()[0]
     assert flat["statistics_skewness"] == 0.0 and flat["statistics_kurtosis"] == 0.0 and flat["statistics_variance"] == 0.0
 

@@ -146,3 +146,28 @@ def test_series(spark):
     assert c[0]["reversal_is_bar"] != c[0]["reversal_is_bar"] and dict(series.chart_series(f).dtypes)["reversal_is_bar"] == "double"
     assert series.terminal_buffers(f).columns[2:] == ["reference", "distance", "scale", "normalized"]
     assert len(series.to_dicts(f)) == 30 == len(series.to_pandas(f))
+
+
+def test_captures_are_split_over_tasks(spark, tmp_path):
+    """Lines keep their numbers when a file is read in many blocks, and when several files are."""
+    rows = [f"2024-01-01T00:{i // 60 % 60:02d}:{i % 60:02d}.0000000Z,1.5,2,1,{1 + i / 1000},{i}" for i in range(2000)]
+    head = "OpenTimeUtc,Open,High,Low,Close,TickVolume"
+    (tmp_path / "a.csv").write_bytes("\r\n".join([head, *rows]).encode())
+    (tmp_path / "b.csv").write_bytes(("\n".join([head, *rows[:7]]) + "\n").encode())
+    (tmp_path / "bad.csv.x").write_bytes(b"OpenTimeUtc\xff")
+    (tmp_path / "empty.csv.x").write_bytes(b"")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = captures.read_strict(spark, f"file://{tmp_path}/*.csv")
+        assert got.rdd.getNumPartitions() > 5
+        found = sorted((r["path"][-5:], r["line_no"], r["close"], r["volume"]) for r in got.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == sorted([("a.csv", i + 2, 1 + i / 1000, float(i)) for i in range(2000)] + [("b.csv", i + 2, 1 + i / 1000, float(i)) for i in range(7)])
+    with pytest.raises(Exception, match="not UTF-8"):
+        captures.strict_lines(spark, f"file://{tmp_path}/bad.csv.x").collect()
+    with pytest.raises(ValueError, match="empty"):
+        captures.strict_lines(spark, f"file://{tmp_path}/empty.csv.x")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.pipeline.spikes import flag_bars, flag_ticks, implausible, robust_components
+from barloom.pipeline.spikes import flag_bars, flag_ticks, implausible, robust_components, unusual_cells
 
 TICKS = "row_id long, symbol string, ts_recv_utc timestamp_ntz, bid double, ask double, spread double, msg_seq long"
 BARS = "row_id long, dataset_id string, bar_index int, Open double, High double, Low double, Close double"
@@ -92,3 +92,19 @@ def test_low_rank_part_is_bounded_and_finds_the_profile():
     normal = seen.copy()
     normal[3, 7] = normal[11, 40] = False
     assert np.abs(low - profile)[normal].max() < 0.5 and np.linalg.matrix_rank(low, tol=0.5) <= 2
+
+
+def test_what_happens_every_day_is_normal(spark):
+    """A surge at the same time every day is the source's profile; the same jump at another time is unusual. A fixed limit cannot tell them apart."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for day in range(40):
+        for slot in range(48):
+            x = 0.7 + 0.1 * rng.random() + (3.0 if slot == 16 else 1.5 if slot == 17 else 0.0)
+            rows.append(("A", day, slot, 3.8 if (day, slot) in ((7, 30), (21, 3)) else x))
+    rows += [("A", 3, None, 9.0), ("A", None, 3, 9.0), (None, 3, 3, 9.0), ("A", 50, 3, None), ("B", 0, 0, 5.0)]
+    df = spark.createDataFrame(rows, "symbol string, day long, slot int, x double")
+    got = {(r["symbol"], r["day"], r["slot"]) for r in unusual_cells(df, "symbol").collect()}
+    assert got == {("A", 7, 30), ("A", 21, 3)}
+    assert df.filter("x >= 3.7").count() > 20  # the surges are as large
+    assert unusual_cells(df.filter("false"), "symbol").collect() == []
