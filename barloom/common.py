@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
-def _path(spark: SparkSession, name: str):
+def hadoop_path(spark: SparkSession, name: str):
     """A path in the JVM and its file system."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -38,7 +38,7 @@ def _path(spark: SparkSession, name: str):
 def scratch_dir(spark: SparkSession) -> str:
     """This application's own part of the shared folder. It goes when the driver ends, or with `release`."""
     name = f"{shared_dir(spark)}/barloom/{spark.sparkContext.applicationId}"
-    path, fs = _path(spark, name)
+    path, fs = hadoop_path(spark, name)
     if not fs.exists(path):
         fs.mkdirs(path)
         fs.deleteOnExit(path)
@@ -47,7 +47,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application. DataFrames that read them cannot be read any more: write results first."""
-    path, fs = _path(spark, scratch_dir(spark))
+    path, fs = hadoop_path(spark, scratch_dir(spark))
     fs.delete(path, True)
 
 
@@ -160,8 +160,8 @@ def publish(df: DataFrame, target: str, keep: int = 2) -> DataFrame:
     version = f"v-{uuid.uuid4().hex}"
     before = versions(spark, target)
     df.write.parquet(f"{target}/{version}")
-    pointer, fs = _path(spark, f"{target}/_CURRENT")
-    fresh, _ = _path(spark, f"{target}/_CURRENT-{version}")
+    pointer, fs = hadoop_path(spark, f"{target}/_CURRENT")
+    fresh, _ = hadoop_path(spark, f"{target}/_CURRENT-{version}")
     kept = [version, *before][: max(keep, 1)]
     out = fs.create(fresh, True)
     out.write(bytearray("\n".join(kept).encode()))
@@ -172,13 +172,13 @@ def publish(df: DataFrame, target: str, keep: int = 2) -> DataFrame:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, pointer, how)
     for old in before:
         if old not in kept:
-            fs.delete(_path(spark, f"{target}/{old}")[0], True)
+            fs.delete(hadoop_path(spark, f"{target}/{old}")[0], True)
     return spark.read.schema(df.schema).parquet(f"{target}/{version}")
 
 
 def versions(spark: SparkSession, target: str) -> list[str]:
     """The versions of a published table that are there, the current one first; none if nothing was published."""
-    pointer, fs = _path(spark, f"{target}/_CURRENT")
+    pointer, fs = hadoop_path(spark, f"{target}/_CURRENT")
     if not fs.exists(pointer):
         return []
     stream = fs.open(pointer)

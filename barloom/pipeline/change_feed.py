@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.common import cut, publish, shared_dir, shuffle_parts
+from barloom.common import cut, publish, scratch_dir, shuffle_parts
 
 # Spellings of `update` and `side` after trimming and lower-casing, with the feed's codes.
 UPDATES = {"snapshot": "snapshot", "new": "new", "0": "new", "change": "change", "1": "change", "delete": "delete", "2": "delete"}
@@ -145,8 +145,8 @@ def rebuild_book(quotes: DataFrame, payload: Sequence[str] = (), **how) -> DataF
 
 
 def published_book(quotes: DataFrame, target: str | None = None, **how) -> DataFrame:
-    """`rebuild_book`, its buckets written beside `target` and published at once."""
-    target = target or f"{shared_dir(quotes.sparkSession)}/barloom/book-{uuid.uuid4().hex}"
+    """`rebuild_book`, its buckets written beside `target` and published at once. Without `target` the book goes with the application's other intermediate tables."""
+    target = target or f"{scratch_dir(quotes.sparkSession)}/book-{uuid.uuid4().hex}"
     return publish(rebuild_book(quotes, **how), target)
 
 

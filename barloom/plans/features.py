@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from enum import Enum
 
 from pyspark.sql import Column, DataFrame
@@ -122,6 +122,12 @@ class FeaturePlan:
     def _statistics(self, df: DataFrame, lane: Lane) -> DataFrame:
         return rolling.statistics(df, lane, self.statistics_window, self.statistics_source, self.statistics, self.retain)
 
+    def fitted(self, bars: DataFrame, most: int = 1_000_000, part: int = 250_000) -> FeaturePlan:
+        """The plan with `part_bars` for these bars: parts of `part` bars if an instrument has more than `most`, whole lanes else. Bars are counted, so `bars` should be cheap to read."""
+        longest = bars.groupBy(self.key).count().agg(F.max("count")).collect()[0][0] or 0
+        halo = max(self.level.halo, self.scale.halo if self.scale else self.scale_period + 1, self.statistics_window + 2, self.mean_window)
+        return replace(self, part_bars=max(part, halo) if longest > most else None)
+
     def view(self, bars: DataFrame, name: str) -> DataFrame:
         """`apply`, registered as a view for SQL."""
         out = self.apply(bars)

@@ -137,7 +137,7 @@ def export(spark: SparkSession, registry_path: str, dataset_id: str, mode: Mode,
         window = bar_ops.research_window(b)
         span = window.agg(F.count(F.lit(1)).alias("n"), F.min_by("t_time", "line_no").alias("start"), F.max_by("t_time", "line_no").alias("end")).collect()[0]
         rest = bar_ops.research_window(b, holdout=True).agg(F.min_by("t_time", "line_no").alias("start")).collect()[0]
-        plan = replace(preset(mode), strict=True)
+        plan = replace(preset(mode), strict=True).fitted(window)
         rows = plan.apply(window).join(window.select("bar_index", *[c for c in window.columns if c.startswith("t_")]), "bar_index")
         # Sorted by range first, then written in many tasks; read once for bounds and rows, so it is kept.
         rows = cut(rows, "export").repartitionByRange("bar_index").sortWithinPartitions("bar_index")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.common import hadoop_path
+
 # Headers of the three capture schemas, and the names that a data frame's columns may have.
 HEADERS = {
     "recorder_v1": "OpenTimeUtc,Open,High,Low,Close,TickVolume",
@@ -31,9 +33,11 @@ def strict_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Files are split over tasks; lines are numbered by their place in their block and the lines of the blocks before it, a row a block.
     """
-    empty = spark.read.format("binaryFile").load(path).select("path", "length").filter("length = 0").limit(1).collect()
-    if empty:
-        raise ValueError(f"no header: {empty[0]['path']} is empty")
+    pattern, fs = hadoop_path(spark, path)
+    for found in fs.globStatus(pattern) or []:
+        for f in fs.listStatus(found.getPath()) if found.isDirectory() else [found]:
+            if f.isFile() and f.getLen() == 0 and f.getPath().getName()[0] not in "._":
+                raise ValueError(f"no header: {f.getPath()} is empty")
     raw = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = raw.groupBy("path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
