@@ -100,8 +100,9 @@ class Scorer:
         return np.maximum(s - s.max(), -self.floor if c is not None else -self.floor / 2)
 
 
-def viterbi(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, scores: np.ndarray, penalty: np.ndarray) -> np.ndarray:
-    """Best language of every word: scores add up, a switch before a word costs its `penalty`. `ids` index `scores`; documents are slices of `ids`.
+def viterbi(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, scores: np.ndarray, penalty: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
+    """Best language of every word: scores add up, a switch before a word costs its `penalty`. `ids` index `scores`; documents are slices of `ids`. `allowed` says which languages each
+    word may have, all without it.
 
     Words are laid out by step, the first words of all documents before the second ones; each step works on the documents that reach it.
     Path values are kept relative to the best, so that a switch is worth less its penalty at every step.
@@ -117,6 +118,8 @@ def viterbi(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, scores: np
     laid, loss = np.empty(len(ids), ids.dtype), np.empty(len(ids), np.float32)
     laid[place], loss[place] = ids, -penalty
     value = np.ascontiguousarray(scores.T)[:, laid]
+    if allowed is not None:
+        value[:, place] -= np.where(allowed.T, np.float32(0), np.float32(1000))
     for t in range(longest):
         d = value[:, base[t] : base[t + 1]]
         if t:
@@ -142,9 +145,9 @@ def viterbi(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, scores: np
 class Labeller:
     """Labels batches of texts; the numbers and scores of tokens are kept between batches."""
 
-    def __init__(self, scorer: Scorer, penalties: tuple[float, float, float], shortest: int, sure: float):
-        """`penalties` of a switch within a line, at a new line and at a new cue."""
-        self.scorer, self.penalties, self.shortest, self.sure = scorer, penalties, shortest, sure
+    def __init__(self, scorer: Scorer, penalties: tuple[float, float, float], shortest: int, sure: float, heard: float = 8.0):
+        """`penalties` of a switch within a line, at a new line and at a new cue; `heard` is the summed margin from which a document speaks a language."""
+        self.scorer, self.penalties, self.shortest, self.sure, self.heard = scorer, penalties, shortest, sure, heard
         # Tokens without letters share number 3.
         self.ids: dict[str, int] = {CUE: 0, DOC: 1, LINE: 2}
         self.scores = np.zeros((1024, len(scorer.langs)), np.float32)
@@ -186,31 +189,51 @@ class Labeller:
             before = lambda x: np.concatenate([x[:1], x[:-1]])
             penalty = np.where(cue != before(cue), at_cue, np.where(line != before(line), at_line, inside))
             best = viterbi(ids, starts[some], lengths[some], self.scores, penalty)
-            # How much a word speaks for its own language: over the best of the others, which is at most nothing for the best word.
             top2 = np.partition(self.scores, n - 2, axis=1)[:, n - 2 :]
-            own = self.scores[ids, best]
-            margin = own - np.where(own >= top2[ids, 1], top2[ids, 0], top2[ids, 1])
+
+            def margins() -> np.ndarray:
+                """How much a word speaks for its own language: over the best of the others, which is at most nothing for the best word."""
+                own = self.scores[ids, best]
+                return own - np.where(own >= top2[ids, 1], top2[ids, 0], top2[ids, 1])
+
+            # Where a document speaks several languages, the path is found once more among these: a short cue then is in one of them, not in a relative of theirs.
+            spoken = np.zeros((len(texts), n))
+            np.add.at(spoken, (doc, best), margins())
+            heard = spoken >= np.maximum(self.heard, 0.02 * spoken.sum(1, keepdims=True))
+            heard[np.arange(len(texts)), spoken.argmax(1)] = True
+            again = heard.sum(1) > 1
+            if (mine := again[doc]).any():
+                sizes = lengths[again]
+                best[mine] = viterbi(ids[mine], np.cumsum(sizes) - sizes, sizes, self.scores, penalty[mine], heard[doc[mine]])
+            margin = margins()
             # Stretches of one document, cue and language; then once more, a cue may come back to a language.
             cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (cue[1:] != cue[:-1]) | (best[1:] != best[:-1])]))
             d, c, lang = doc[cut], cue[cut], best[cut].astype(np.int64)
             said, margin = np.diff(np.append(cut, len(ids))), np.add.reduceat(margin, cut)
+            every = np.add.reduceat(self.scores[ids], cut)
             order = np.lexsort((c, lang, d))
-            d, c, lang, said, margin = d[order], c[order], lang[order], said[order], margin[order]
+            d, c, lang, said, margin, every = d[order], c[order], lang[order], said[order], margin[order], every[order]
             cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (lang[1:] != lang[:-1]) | (c[1:] != c[:-1])]))
-            said, margin = np.add.reduceat(said, cut), np.add.reduceat(margin, cut)
+            said, margin, every = np.add.reduceat(said, cut), np.add.reduceat(margin, cut), np.add.reduceat(every, cut)
             d, c, lang = d[cut], c[cut], lang[cut]
             np.add.at(whole, (d, lang), said)
             np.add.at(certain, (d, lang), margin)
             # Places of dialogue cues in order, so that cues without dialogue do not interrupt.
             place, rank, langs_here = np.unique(d.astype(np.int64) << 32 | c, return_inverse=True, return_counts=True)
             n_cues = np.bincount(place >> 32, minlength=len(texts))
-            # A language that shares its cue must be certain there: names at a switch belong to either side.
-            keep = (margin >= self.sure) | (langs_here[rank] == 1)
+            # A language that shares its cue must be certain there against the others in it: names at a switch belong to either side.
+            here = np.zeros((len(place), n), bool)
+            here[rank, lang] = True
+            others = here[rank]
+            others[np.arange(len(lang)), lang] = False
+            over = every[np.arange(len(lang)), lang] - np.where(others, every, -np.inf).max(1)
+            keep = (over >= self.sure) | (langs_here[rank] == 1)
             d, c, lang, said, margin, rank = d[keep], c[keep], lang[keep], said[keep], margin[keep], rank[keep]
             runs = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (lang[1:] != lang[:-1]) | (rank[1:] != rank[:-1] + 1)]))
             stop = np.append(runs[1:], len(d))
             sums, words = np.add.reduceat(margin, runs), np.add.reduceat(said, runs)
-            for i in np.flatnonzero(stop - runs >= self.shortest):
+            # Cues without dialogue inside a run count for its length, but one cue alone is no run.
+            for i in np.flatnonzero((c[stop - 1] - c[runs] + 1 >= self.shortest) & (stop - runs > 1 if self.shortest > 1 else True)):
                 yield int(d[runs[i]]), langs[lang[runs[i]]], _confidence(sums[i], words[i]), int(c[runs[i]]), int(c[stop[i] - 1]), int(stop[i] - runs[i])
         main = whole.argmax(1)
         for i, k in enumerate(main):
@@ -262,7 +285,7 @@ def fit(samples: DataFrame, docs: DataFrame | None = None, per_lang: int = 120,
 def label_texts(docs: DataFrame, scorer: Scorer, penalties: tuple[float, float, float] = (5.0, 2.0, 3.0), shortest: int = 5, sure: float = 2.0, batch_chars: int = 8_000_000) -> DataFrame:
     """Language and confidence of each document (a row with first_cue 0) and of each of its segments.
 
-    A segment is a longest run of cues with dialogue in one language, `shortest` cues at least; cues without dialogue do not interrupt it, and two languages may
+    A segment is a longest run of cues with dialogue in one language that spans `shortest` cues at least; cues without dialogue do not interrupt it and count for its span, and two languages may
     run side by side. Null, empty and dialogue-free texts have a row with null language and confidence 0; repeated doc_ids are labelled row
     by row. Texts are read whole; extra columns are ignored.
     """

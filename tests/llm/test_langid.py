@@ -82,6 +82,23 @@ def test_segments(scorer):
     assert sorted((r[1], r[3], r[5]) for r in beside if r[3]) == [("en", 1, 5), ("es", 1, 5)]
 
 
+def test_a_segment_spans_its_cues_without_dialogue(scorer):
+    # Four cues of dialogue span five with the advert between them; two that stand alone span two.
+    four = labels(scorer, srt([*EN, RU[0], RU[1], "Synced and corrected by team X", RU[2], RU[3], *ES]))
+    assert sorted((r[1], r[3], r[4], r[5]) for r in four if r[3]) == [("en", 1, 5, 5), ("es", 11, 15, 5), ("ru", 6, 10, 4)]
+    two = labels(scorer, srt([*EN, RU[0], RU[1], "(door)", *EN]))
+    assert {r[1] for r in two if r[3]} == {"en"}
+
+
+def test_short_cues_are_in_a_language_that_the_document_speaks():
+    """A word that a third language has as well is none of that language where only the others are spoken."""
+    words = {"en": "the boat was waiting by river where did you leave old map", "es": "el barco estaba esperando al lado del vamos", "pt": "o navio ficava vamos vamos vamos agora conosco"}
+    s = Scorer(["en", "es", "pt"], [(k, w.split() * 3) for k, w in words.items()])
+    cues = ["the boat was waiting", "where did you leave the map", "the old boat", "you leave the river", "the boat was waiting", "vamos", "el barco estaba esperando", "al lado del barco", "estaba al lado", "esperando el barco"]
+    got = [(lang, first) for _, lang, _, first, _, _ in Labeller(s, (5.0, 2.0, 3.0), 5, 2.0).label([srt(cues)]) if first]
+    assert sorted(got) == [("en", 1), ("es", 6)]
+
+
 def test_labels(spark):
     given = ["en", "EN-us", " Deutsch", "pt-BR", "fra", "zxx ", "??", "", None, "Spanish (Latin)", "klingon"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, lang string")
