@@ -11,10 +11,11 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.common import shuffle_parts
+from barloom.common import free_names
 from barloom.functions.lanes import Lane
 
 _ARROW = {T.DoubleType(): pa.float64(), T.IntegerType(): pa.int32()}
@@ -32,7 +33,9 @@ class Step:
 def one_pass(df: DataFrame, keys: Sequence[str], order: str, steps: Sequence[Step]) -> DataFrame:
     """`df` with the outputs of all steps, bars in order within each lane (rows of equal `keys`)."""
     added = [(name, kind) for s in steps for name, kind in s.outputs]
+    names = df.columns
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, k) for n, k in added]])
+    (no,) = free_names(df, ["lane_no"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, states = None, [None] * len(steps)
@@ -60,9 +63,11 @@ def one_pass(df: DataFrame, keys: Sequence[str], order: str, steps: Sequence[Ste
             for (_, kind), p in zip(added, parts):
                 x = np.concatenate(p)
                 arrays.append(pa.array(x, _ARROW[kind], mask=np.isnan(x) if x.dtype.kind == "f" else None))
-            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, *[n for n, _ in added]])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *arrays], names=[*names, *[n for n, _ in added]])
 
-    return df.repartition(shuffle_parts(df.sparkSession), *keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+    # A window asks for whole lanes in order, and shares the exchange and sort of the windows before it, which a repartition would not.
+    ordered = df.withColumn(no, F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    return ordered.mapInArrow(run, schema)
 
 
 def lane_pass(df: DataFrame, lane: Lane, steps: Sequence[Step], parts: bool = True) -> DataFrame:
